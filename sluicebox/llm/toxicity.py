@@ -40,7 +40,7 @@ for _c, _k in CODE.items():
 
 #: What a sign may stand for, with the channel's log probability.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l"}
-_SUB, _DROP, _JOIN, _DOUBLE = math.log(0.3), math.log(0.02), math.log(0.5), math.log(0.2)
+_SUB, _DROP, _JOIN, _DOUBLE = math.log(0.3), math.log(0.0005), math.log(0.5), math.log(0.02)
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*]{1,3}(?:[^\W_]|[@$!|+])(?![^\W_])){2,}")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _SIGN = re.compile(r"[0-9@$!|+€(¡£*._\-]")
@@ -96,7 +96,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             options = [(c * min(n, 2), 0.0)] if n < 3 else [(c, _SUB), (c + c, _SUB + _DOUBLE)]
             if n == 2:
-                options = [(c + c, math.log(0.7)), (c, _DOUBLE)]
+                options = [(c + c, 0.0), (c, _DOUBLE)]
         elif c in " .-_*":
             options = [("", _JOIN * n), (" ", _JOIN)]
         else:
