@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,16 +36,39 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once: within a lambda, an expression over columns runs anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_SPANS = "array<struct<a:int,b:int>>"
+_CHUNK = 256
+
+
 def token_ends(c: Column) -> Column:
-    """[start, end) of every token, in characters. Quadratic in the tokens: only for rows that need positions."""
-    t, gaps = tokens(c), F.split(c, TOKEN, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + x["t"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("a"), (acc["at"] + x["g"] + x["t"]).alias("b")))).alias("out"),
-    )
-    sized = F.zip_with(t, F.slice(gaps, 1, F.greatest(F.size(t), F.lit(1))), lambda x, g: F.struct(F.length(g).alias("g"), F.length(x).alias("t")))
-    return F.aggregate(F.filter(sized, lambda x: x["t"].isNotNull()), first, step, lambda acc: acc["out"])
+    """[start, end) of every token, in characters. Running sums go by chunks: one array over all tokens would be copied for each."""
+    size = lambda p: p["g"] + p["t"]
+    none = F.array().cast(_SPANS)
+
+    def chunked(pairs: Column) -> Column:
+        last = ((F.size(pairs) - 1) / _CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(pairs, i * _CHUNK + 1, _CHUNK))
+
+    def bases(chunks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + F.aggregate(x, F.lit(0), lambda s, p: s + size(p))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(chunks, start, step, lambda acc: acc["out"])
+
+    def ends(pairs: Column, base: Column) -> Column:
+        span = lambda acc, p: F.array(F.struct((acc["at"] + p["g"]).alias("a"), (acc["at"] + size(p)).alias("b")))
+        step = lambda acc, p: F.struct((acc["at"] + size(p)).alias("at"), F.concat(acc["out"], span(acc, p)).alias("out"))
+        return F.aggregate(pairs, F.struct(base.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def of(t: Column) -> Column:
+        pairs = F.zip_with(t, F.slice(F.split(c, TOKEN, -1), 1, F.greatest(F.size(t), F.lit(1))), lambda x, g: F.struct(F.length(g).alias("g"), F.length(x).alias("t")))
+        return let(pairs, lambda p: let(chunked(p), lambda cs: F.flatten(F.zip_with(cs, bases(cs), ends))))
+
+    return let(tokens(c), lambda t: F.when(F.size(t) == 0, none).otherwise(of(t)))
 
 
 def literal_pattern(part: Column) -> Column:
@@ -56,10 +80,12 @@ def part_spans(c: Column, parts: Column) -> Column:
     """Non-overlapping occurrences, from the left, of each non-empty part, parts in order."""
 
     def of(part: Column) -> Column:
-        pieces = F.split(c, literal_pattern(part), -1)
-        ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda s, p: s + F.length(p)) + (k - 1) * F.length(part))
-        spans = F.transform(ends, lambda a: F.struct(a.alias("a"), (a + F.length(part)).alias("b")))
-        return F.when(F.size(pieces) > 1, spans).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+        return let(F.split(c, literal_pattern(part), -1), lambda pieces: spans(part, pieces))
+
+    def spans(part: Column, pieces: Column) -> Column:
+        before = lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda s, p: s + F.length(p)) + (k - 1) * F.length(part)
+        found = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.struct(before(k).alias("a"), (before(k) + F.length(part)).alias("b")))
+        return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(_SPANS))
 
     return F.flatten(F.transform(F.filter(parts, lambda p: (p != "") & F.contains(c, p)), of))
 
@@ -72,29 +98,38 @@ def window_starts(n: Column, window: int = WINDOW, stride: int = STRIDE) -> Colu
 
 def window_labels(c: Column, parts: Column, window: int = WINDOW, stride: int = STRIDE) -> Column:
     """1 for each window whose characters overlap a part, else 0. Positions are computed only where a part occurs."""
-    spans = part_spans(c, parts)
-    n = F.size(tokens(c))
-    starts = window_starts(n, window, stride)
-    at = token_ends(c)
 
-    def label(s: Column) -> Column:
-        first, last = F.get(at, s)["a"], F.get(at, F.least(s + window, n) - 1)["b"]
+    def label(spans: Column, at: Column, s: Column) -> Column:
+        first, last = F.get(at, s)["a"], F.get(at, F.least(s + window, F.size(at)) - 1)["b"]
         return F.exists(spans, lambda x: (first < x["b"]) & (x["a"] < last)).cast("int")
 
-    return F.when(F.size(spans) == 0, F.transform(starts, lambda _: F.lit(0))).otherwise(F.transform(starts, label))
+    def marked(spans: Column) -> Column:
+        none = F.transform(window_starts(F.size(tokens(c)), window, stride), lambda _: F.lit(0))
+        some = let(token_ends(c), lambda at: F.transform(window_starts(F.size(at), window, stride), lambda s: label(spans, at, s)))
+        return F.when(F.size(spans) == 0, none).otherwise(some)
+
+    return let(part_spans(c, parts), marked)
 
 
 def part_token_count(c: Column, parts: Column) -> Column:
     """Tokens that overlap a part, each once."""
-    spans = part_spans(c, parts)
-    hit = F.filter(token_ends(c), lambda t: F.exists(spans, lambda x: (t["a"] < x["b"]) & (x["a"] < t["b"])))
-    return F.when(F.size(spans) == 0, F.lit(0)).otherwise(F.size(hit))
+    hit = lambda spans: F.filter(token_ends(c), lambda t: F.exists(spans, lambda x: (t["a"] < x["b"]) & (x["a"] < t["b"])))
+    return let(part_spans(c, parts), lambda spans: F.when(F.size(spans) == 0, F.lit(0)).otherwise(F.size(hit(spans))))
+
+
+def token_windows(c: Column, labels: Column, window: int = WINDOW, stride: int = STRIDE) -> Column:
+    """structs (start, label, tokens) of all windows; the labels in the order of :func:`window_starts`."""
+
+    def of(t: Column) -> Column:
+        return F.zip_with(window_starts(F.size(t), window, stride), labels, lambda s, y: F.struct(s.alias("start"), y.alias("label"), F.slice(t, s + 1, window).alias("tokens")))
+
+    return let(tokens(c), of)
 
 
 def shingles(t: Column, k: int = SHINGLE) -> Column:
     """Distinct runs of k tokens joined by blanks; fewer than k tokens are one run, none are none."""
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, k), " ")))
-    return F.when(F.size(t) > 0, runs).otherwise(F.array().cast("array<string>"))
+    runs = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, k), " ")))
+    return let(t, lambda x: F.when(F.size(x) > 0, runs(x)).otherwise(F.array().cast("array<string>")))
 
 
 def changed_parts(diff: Column, sign: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LENGTH = 200
@@ -42,6 +42,13 @@ def conditions(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.inline(F.filter(uses, lambda x: x.isNotNull())))
 
 
+def vocabulary(rows: DataFrame, tokens: str, least: int) -> DataFrame:
+    """``token, index, n`` of tokens that occur at least ``least`` times, most frequent first, ties in the order of tokens."""
+    counts = rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # One task ranks the frequent tokens: their number follows the language, not the corpus.
+    return counts.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).alias("index"), "n")
+
+
 def token_ids(rows: DataFrame, key: str, tokens: str, vocabulary: DataFrame, length: int = LENGTH) -> DataFrame:
     """``key, ids``: index + 1 of each of the first tokens, 0 for unknown ones and for padding."""
     each = rows.select(key, F.posexplode(F.slice(tokens, 1, length)).alias("pos", "token"))
@@ -54,7 +61,8 @@ def mean_pool(rows: DataFrame, key: str, tokens: str, vocabulary: DataFrame, wid
     """``key, dim, value``: the mean vector over known tokens, each as often as it occurs; zeros where none is known."""
     each = rows.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("times"))
     dims = each.join(vocabulary.select("token", F.posexplode("vector").alias("dim", "x")), "token")
-    pooled = dims.groupBy(key, "dim").agg((F.sum(F.col("x").cast("double") * F.col("times")) / F.sum("times")).alias("value"))
+    # Decimal sums don't depend on the order of rows.
+    pooled = dims.groupBy(key, "dim").agg((F.sum(F.col("x").cast("double").cast("decimal(20,10)") * F.col("times").cast("decimal(10,0)")).cast("double") / F.sum("times")).alias("value"))
     grid = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("dim"))
     return grid.join(pooled, [key, "dim"], "left").select(key, "dim", F.coalesce("value", F.lit(0.0)).alias("value"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicebox.functions.safe import safe_value
+from sluicebox.functions.text import strip
 
 MIN_TOKENS, MAX_TOKENS, MAX_SHARE, MIN_KEPT = 420, 900, 0.15, 0.75
 VERDICT_FLAGS = ("cwe_correct", "fix_correct", "context_correct", "runtime_plausible")
@@ -38,7 +39,7 @@ def tool_status(code: Column, body: Column, key: str, state: Column) -> Column:
 def availability_message(label: str, before: Column, after: Column, error: Column) -> Column:
     """Null where both runs succeeded; else what kept the tool from working: missing beats timeout beats the last error line."""
     either = lambda s: (before == s) | (after == s)
-    line = F.substring(F.element_at(F.split(F.rtrim(error), "\r\n|\r|\n", -1), -1), 1, 240)
+    line = F.substring(F.element_at(F.split(strip(error), "\r\n|\r|\n", -1), -1), 1, 240)
     failed = F.concat(F.lit(f"{label} failed to run"), F.coalesce(F.concat(F.lit(": "), F.nullif(line, F.lit(""))), F.lit("")))
     return F.when((before == "success") & (after == "success"), F.lit(None)).when(either("missing"), f"{label} is not available").when(either("timeout"), f"{label} timed out").otherwise(failed)
 
