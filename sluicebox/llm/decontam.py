@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicebox.functions.text import let
 from sluicebox.llm.common import WORD, digest, narrow, text_slices, unused
 
 #: Words of a window; an item of fewer words is one window of its own length.
@@ -209,9 +210,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, drop_sh
 def _cut_column(text: Column, spans: Column) -> Column:
     """Text without these word ranges. Splitting at words keeps what stands between them: gaps[i] precedes word i."""
     pattern = r"[\p{L}\p{N}_]+"
-    gaps, words = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # A gap goes with the words on both sides of it if one span holds both.
     in_span = lambda i: F.exists(spans, lambda s: (s["a"] <= i) & (i < s["b"]))
     inner = lambda i: F.exists(spans, lambda s: (s["a"] < i) & (i < s["b"]))
-    pieces = F.transform(gaps, lambda g, i: F.concat(F.when(inner(i), F.lit("")).otherwise(g), F.when(in_span(i), F.lit("")).otherwise(F.coalesce(F.get(words, i), F.lit("")))))
-    return F.array_join(pieces, "")
+    piece = lambda words, g, i: F.concat(F.when(inner(i), F.lit("")).otherwise(g), F.when(in_span(i), F.lit("")).otherwise(F.coalesce(F.get(words, i), F.lit(""))))
+    rest = lambda words: F.transform(F.split(text, pattern, -1), lambda g, i: piece(words, g, i))
+    return F.array_join(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rest), "")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluicebox.functions.text import let
 from sluicebox.llm.common import digest, narrow, text_slices, unused
 
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("pos", pa.int32())])
@@ -126,8 +127,8 @@ def apply_line_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["out"],
     )
-    lines = F.split("text", "\n", -1)
-    text = F.array_join(F.flatten(F.transform(bounds, lambda b: F.slice(lines, b["a"] + 1, b["n"]))), "\n")
+    kept = lambda lines: F.flatten(F.transform(bounds, lambda b: F.slice(lines, b["a"] + 1, b["n"])))
+    text = F.array_join(let(F.split("text", "\n", -1), kept), "\n")
     out = joined.withColumn(order_, F.col("text")).withColumn("text", F.when(F.col(runs_).isNull(), F.col("text")).otherwise(F.when(~F.contains(runs_, F.lit(",")), F.col("text")).otherwise(text)))
     blank = lambda c: F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "") == ""
     out = out.where(F.col("text").isNull() | ~blank(F.col("text")) | blank(F.col(order_)))

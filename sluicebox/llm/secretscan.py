@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicebox.functions.text import let
 from sluicebox.llm.common import digest, narrow
 
 WINDOW = 400
@@ -28,10 +29,13 @@ PATTERNS = {
 def _matches(kind: str) -> Column:
     """The scope's matches as (kind, start, end, value): positions are sums of the pieces between and of the matches."""
     pattern = PATTERNS[kind]
-    pieces, hits = F.split("body", pattern, -1), F.regexp_extract_all("body", F.lit(pattern), F.lit(0))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + F.length(x))
-    start = lambda i: total(F.slice(pieces, 1, i + 1)) + total(F.slice(hits, 1, i))
-    return F.transform(hits, lambda h, i: F.struct(F.lit(kind).alias("kind"), start(i).alias("a"), (start(i) + F.length(h)).alias("b"), h.alias("value")))
+
+    def placed(pieces: Column, hits: Column) -> Column:
+        start = lambda i: total(F.slice(pieces, 1, i + 1)) + total(F.slice(hits, 1, i))
+        return F.transform(hits, lambda h, i: F.struct(F.lit(kind).alias("kind"), start(i).alias("a"), (start(i) + F.length(h)).alias("b"), h.alias("value")))
+
+    return let(F.split("body", pattern, -1), lambda pieces: let(F.regexp_extract_all("body", F.lit(pattern), F.lit(0)), lambda hits: placed(pieces, hits)))
 
 
 def credential_links(docs: DataFrame, window: int = WINDOW) -> DataFrame:
