@@ -7,16 +7,18 @@ components.
 
 A single BK-tree over all fingerprints can't prune at this radius (distances of unrelated texts
 crowd around 30 bits), and broadcasting it would grow with the corpus. So the fingerprints are
-sharded: ``TABLES`` samples of ``KEY_BITS`` bit positions; fingerprints that agree in a sample are
-one shard, meet in one task by a shuffle, and are searched there with the shard's own BK-tree.
-All fingerprints are queries; a shard has no size limit. Within a shard, a group is grown from
-a pivot at a time, and what has joined a group isn't searched again: a hot shard of copies costs
-time in proportion to its size.
+sharded by the pigeonhole principle: the 64 bits are cut into blocks, and two fingerprints within
+the radius are within a block's share of it in at least one block (see :func:`blocks`). Each
+fingerprint goes to every shard in which such a partner can meet it, so no pair within the radius
+is missed. A shard meets in one task by a shuffle; up to ``FLAT`` fingerprints it is one leaf, all
+compared with all, beyond it is searched with the shard's own BK-tree. All fingerprints are
+queries; a shard has no size limit. In a shard with more near pairs than ``DENSE`` per
+fingerprint, a group is grown from a pivot at a time, and what has joined a group isn't searched
+again: a hot shard of copies costs time in proportion to its size.
 """
 
 from __future__ import annotations
 
-import random
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,18 +32,37 @@ from sluicebox.llm.common import WORD, digest, narrow, text_slices, unused, writ
 
 RADIUS = 10
 PAIR_RADIUS = 17
-TABLES = 48
-KEY_BITS = 20
 #: Texts of fewer words have no fingerprint: they group with equal texts only.
 MIN_WORDS = 5
 LEAF = 64
+#: Fingerprints of a shard that are compared all with all, near pairs for each of them up to which the pairs are the edges, and comparisons made at once.
+FLAT, DENSE, AT_ONCE = 4096, 8, 1 << 17
 
 
+def blocks(radius: int) -> list[tuple[list[int], int]]:
+    """The bit positions of each block, and its share of the radius (0, 1 or 2 bits).
 
-def samples(tables: int = TABLES, bits: int = KEY_BITS) -> list[list[int]]:
-    """The bit positions of each table's key, the same in every run."""
-    rng = random.Random(20260624)
-    return [sorted(rng.sample(range(64), bits)) for _ in range(tables)]
+    The shares plus one each sum up to radius + 1: a pair that is beyond the share in every block
+    differs in at least radius + 1 bits.
+    """
+    m = min(64, radius // 3 + 1)
+    left = radius - m + 1
+    return [(list(range(i, 64, m)), max(0, min(2, left - 2 * i))) for i in range(m)]
+
+
+def shard_keys(radius: int) -> list[tuple[int, int]]:
+    """For each shard of a fingerprint, the bits kept and the bits flipped: pairs within the radius agree in at least one.
+
+    Within two bits: both flip at most one bit to the value between them. Within one: both leave it out.
+    """
+    keys = []
+    for bits, share in blocks(radius):
+        mask = sum(1 << b for b in bits)
+        if share == 1:
+            keys += [(mask ^ (1 << b), 0) for b in bits]
+        else:
+            keys += [(mask, 0)] + [(mask, 1 << b) for b in bits if share == 2]
+    return keys
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
@@ -132,6 +153,22 @@ def shard_groups(f1: np.ndarray, f2: np.ndarray, radius: int, pair_radius: int)
     return label
 
 
+def near_pairs(x1: np.ndarray, x2: np.ndarray, radius: int, pair_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(shard, i, j) with i < j of the near pairs in shards of one size (a row each); None if one shard alone has too many."""
+    k, size = x1.shape
+    step, found, n = max(1, AT_ONCE // (k * size)), [], 0
+    for r in range(0, size, step):
+        s, i, j = np.nonzero(np.bitwise_count(x1[:, r : r + step, None] ^ x1[:, None, r:]) <= radius)
+        ahead = i < j
+        s, i, j = s[ahead], i[ahead] + r, j[ahead] + r
+        near = np.bitwise_count(x2[s, i] ^ x2[s, j]) <= pair_radius
+        found.append((s[near], i[near], j[near]))
+        n += int(near.sum())
+        if k == 1 and n > DENSE * size:
+            return None
+    return tuple(np.concatenate([f[c] for f in found]) for c in range(3))
+
+
 def _search(radius: int, pair_radius: int):  # noqa: ANN202
     schema = pa.schema([("a1", pa.int64()), ("a2", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64())])
 
@@ -157,17 +194,17 @@ def _search(radius: int, pair_radius: int):  # noqa: ANN202
             u1, u2 = f1.view(np.uint64), f2.view(np.uint64)
             a: list[np.ndarray] = []
             b: list[np.ndarray] = []
-            for size in np.unique(sizes):
+            for size in np.unique(sizes[sizes > 1]):
                 own = starts[sizes == size]
-                if 2 <= size <= LEAF // 2:
-                    # A tree of one leaf: all shards of this size at once, offset by offset.
-                    for i in range(size):
-                        for j in range(i + 1, size):
-                            near = (np.bitwise_count(u1[own + i] ^ u1[own + j]) <= radius) & (np.bitwise_count(u2[own + i] ^ u2[own + j]) <= pair_radius)
-                            a.append(own[near] + i)
-                            b.append(own[near] + j)
-                elif size > LEAF // 2:
-                    for s in own:
+                some = max(1, AT_ONCE // (size * size))
+                for part in (own[x : x + some] for x in range(0, len(own), some)):
+                    at = part[:, None] + np.arange(size)
+                    found = near_pairs(u1[at], u2[at], radius, pair_radius) if size <= FLAT else None
+                    if found is not None:
+                        a.append(part[found[0]] + found[1])
+                        b.append(part[found[0]] + found[2])
+                        continue
+                    for s in part:
                         label = shard_groups(u1[s : s + size], u2[s : s + size], radius, pair_radius)
                         moved = np.flatnonzero(label != np.arange(size))
                         a.append(s + label[moved])
@@ -179,16 +216,10 @@ def _search(radius: int, pair_radius: int):  # noqa: ANN202
     return search
 
 
-def near_edges(prints: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS, tables: int = TABLES, key_bits: int = KEY_BITS) -> DataFrame:
+def near_edges(prints: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS) -> DataFrame:
     """Edges between distinct fingerprints ``a1, a2, b1, b2`` whose components are the groups."""
-    f = F.col("f1")
-    keys = []
-    for t, bits in enumerate(samples(tables, key_bits)):
-        key = F.lit(t).cast("bigint")
-        mask = 0
-        for bit in bits:
-            mask |= 1 << bit
-        keys.append(F.xxhash64(key, f.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("bigint")
+    keys = [F.xxhash64(signed(mask), F.col("f1").bitwiseAND(signed(mask)).bitwiseXOR(signed(flip))) for mask, flip in shard_keys(radius)]
     exploded = prints.select("f1", "f2", F.explode(F.array(*keys)).alias("shard"))
     shards = exploded.repartition("shard").sortWithinPartitions("shard", "f1", "f2")
     return shards.mapInArrow(_search(radius, pair_radius), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
@@ -239,7 +270,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(seen)
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS, tables: int = TABLES, key_bits: int = KEY_BITS) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS) -> DataFrame:
     """One row per document in a group of two or more: ``doc_id, digest, keeper_id, keeper_digest``.
 
     The keeper is the group's first document in the order of doc_id (null first) and digest; its
@@ -254,7 +285,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_R
     full = marked.where("f1 is not null")
     prints = full.select("f1", "f2").distinct()
     name = lambda a, b: F.concat_ws(":", F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
-    edges = near_edges(prints, radius, pair_radius, tables, key_bits).select(name("a1", "a2").alias("u"), name("b1", "b2").alias("v"))
+    edges = near_edges(prints, radius, pair_radius).select(name("a1", "a2").alias("u"), name("b1", "b2").alias("v"))
     group = components(edges)
     node = marked.withColumn("node", F.when(F.col("f1").isNotNull(), name("f1", "f2")).otherwise(F.col("same")))
     joined = node.join(group.select(F.col("u").alias("node"), F.col("v").alias("head")), "node", "left").withColumn("group", F.coalesce("head", "node"))
