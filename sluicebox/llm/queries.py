@@ -18,6 +18,10 @@ def op1_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.credential_links(table(spark, sf_dir, "documents"))
 
 
+def op1_scope_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scope_links(table(spark, sf_dir, "documents"))
+
+
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histsort.histogram_sort(table(spark, sf_dir, "documents"), histsort.hash_key("doc_id"))
 
@@ -59,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_credential_links, op2_histogram_sort, op3_pack, op4_contamination, op5_transport_streams, op6_toxicity, op7_line_bitmaps, op8_near_groups, op9_packaged_archives, op10_token_counts)
+    own = (op1_credential_links, op2_histogram_sort, op3_pack, op4_contamination, op5_transport_streams, op6_toxicity, op7_line_bitmaps, op8_near_groups, op9_packaged_archives, op10_token_counts, op1_scope_links)
     return {f.__name__: f for f in own}
 
 
@@ -101,6 +105,22 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN n_ids > 0 THEN 'id+' ELSE '' END || 'secret' || CASE WHEN n_endpoints > 0 THEN '+endpoint' ELSE '' END AS link,
               sha256(value) AS secret_sha256
             FROM linked WHERE kind = 'strong' OR n_ids > 0 OR n_endpoints > 0""",
+        "op1_scope_links": f"""
+            WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE regexp_matches(text, {secret})),
+            split AS (SELECT doc_id, text, string_split_regex(text, {_sql_text(secretscan.SCOPE)}) AS s FROM docs),
+            scopes AS (SELECT doc_id, text, unnest(range(len(s))) AS scope, unnest(s) AS body FROM split),
+            parts AS ({_parts_sql()}),
+            linked AS (SELECT h.doc_id, h.text, h.scope, h.a, h.b, h.kind, h.value,
+                count(DISTINCT CASE WHEN p.kind = 'id' THEN p.a || ':' || p.b END) AS n_ids,
+                count(DISTINCT CASE WHEN p.kind = 'endpoint' THEN p.a || ':' || p.b END) AS n_endpoints,
+                min(CASE WHEN p.a > h.b THEN p.a - h.b WHEN p.b < h.a THEN h.a - p.b WHEN p.a IS NOT NULL THEN 0 END) AS distance
+              FROM parts h LEFT JOIN parts p ON p.kind IN ('id', 'endpoint') AND p.text = h.text AND p.doc_id IS NOT DISTINCT FROM h.doc_id AND p.scope = h.scope
+              WHERE h.kind IN ('strong', 'weak') GROUP BY ALL)
+            SELECT doc_id, CAST(scope AS INTEGER) AS scope, CAST(a AS INTEGER) AS secret_start, CAST(b AS INTEGER) AS secret_end, kind AS strength,
+              CAST(n_ids AS INTEGER) AS n_ids, CAST(n_endpoints AS INTEGER) AS n_endpoints, CAST(distance AS INTEGER) AS distance,
+              CASE WHEN n_ids > 0 THEN 'id+' ELSE '' END || 'secret' || CASE WHEN n_endpoints > 0 THEN '+endpoint' ELSE '' END AS link,
+              sha256(value) AS secret_sha256
+            FROM linked WHERE kind = 'strong' OR n_ids > 0 OR n_endpoints > 0""",
         "op2_histogram_sort": f"""
             WITH keyed AS (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS shard_key,
                 coalesce(strlen(text), 0) + 1 AS w FROM documents),

@@ -5,6 +5,7 @@ for the positions of all parts. Self-evident secrets are reported alone. A weak
 generic assignment such as a token or password) is reported only if an access identifier or an
 endpoint stands within ``window`` characters of it in the same scope. Parts meet by equality of
 (document, scope, bin of ``window`` characters), with each secret in its bin and the neighbours.
+:func:`scope_links` has no window: the scope itself is the interval, and the distance is given.
 """
 
 from __future__ import annotations
@@ -38,6 +39,18 @@ def _matches(kind: str) -> Column:
     return let(F.split("body", pattern, -1), lambda pieces: let(F.regexp_extract_all("body", F.lit(pattern), F.lit(0)), lambda hits: placed(pieces, hits)))
 
 
+def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All parts of the scopes that hold a secret, and the secrets among them."""
+    rows = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    secret = F.col("text").rlike(f"{PATTERNS['strong']}|{PATTERNS['weak']}")
+    scopes = rows.where(secret).withColumn("digest", digest()).dropDuplicates(["doc_id", "digest"])
+    scopes = scopes.select("doc_id", "digest", F.posexplode(F.split("text", SCOPE, -1)).alias("scope", "body"))
+    scopes = scopes.where(F.col("body").rlike(f"{PATTERNS['strong']}|{PATTERNS['weak']}"))
+    parts = scopes.select("doc_id", "digest", "scope", F.inline(F.concat(*[_matches(k) for k in PATTERNS])))
+    hits = parts.where("kind in ('strong', 'weak')").select("digest", "doc_id", "scope", F.col("a").alias("secret_start"), F.col("b").alias("secret_end"), F.col("kind").alias("strength"), F.sha2("value", 256).alias("secret_sha256"))
+    return parts, hits
+
+
 def credential_links(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per reported secret: ``doc_id, scope, secret_start, secret_end, strength, n_ids, n_endpoints, link, secret_sha256``.
 
@@ -48,20 +61,32 @@ def credential_links(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     id+secret+endpoint. The secret itself is given only as a hash. Null and empty texts give
     nothing. Rows equal in doc_id and text are one document. Extra columns are ignored.
     """
-    rows = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    secret = F.col("text").rlike(f"{PATTERNS['strong']}|{PATTERNS['weak']}")
-    scopes = rows.where(secret).withColumn("digest", digest()).dropDuplicates(["doc_id", "digest"])
-    scopes = scopes.select("doc_id", "digest", F.posexplode(F.split("text", SCOPE, -1)).alias("scope", "body"))
-    scopes = scopes.where(F.col("body").rlike(f"{PATTERNS['strong']}|{PATTERNS['weak']}"))
-    parts = scopes.select("doc_id", "digest", "scope", F.inline(F.concat(*[_matches(k) for k in PATTERNS])))
-    hits = parts.where("kind in ('strong', 'weak')").select("digest", "doc_id", "scope", F.col("a").alias("secret_start"), F.col("b").alias("secret_end"), F.col("kind").alias("strength"), F.sha2("value", 256).alias("secret_sha256"))
+    parts, hits = _found(docs)
     near = parts.where("kind in ('id', 'endpoint')").select("digest", F.col("scope").alias("s2"), "kind", "a", "b", F.explode(F.sequence((F.col("a") / window).cast("int"), (F.col("b") / window).cast("int"))).alias("bin"))
     binned = hits.withColumn("bin", F.explode(F.sequence((F.col("secret_start") / window).cast("int") - 1, (F.col("secret_end") / window).cast("int") + 1)))
     # Null doc_ids are part of the digest, so the digest stands for the document here.
     joined = binned.join(near.withColumnRenamed("digest", "d2"), (F.col("digest") == F.col("d2")) & (F.col("scope") == F.col("s2")) & (binned["bin"] == near["bin"]) & (F.col("a") <= F.col("secret_end") + window) & (F.col("b") >= F.col("secret_start") - window), "left")
+    return _reported(joined)
+
+
+def scope_links(docs: DataFrame) -> DataFrame:
+    """:func:`credential_links` with every part of the scope, however far: also ``distance`` after ``n_endpoints``.
+
+    ``distance`` is the number of characters between the secret and the nearest identifier or
+    endpoint of its scope: 0 where they touch or overlap, null where there is none.
+    """
+    parts, hits = _found(docs)
+    near = parts.where("kind in ('id', 'endpoint')").select(F.col("digest").alias("d2"), F.col("scope").alias("s2"), "kind", "a", "b")
+    joined = hits.join(near, (F.col("digest") == F.col("d2")) & (F.col("scope") == F.col("s2")), "left")
+    gap = F.when(F.col("kind").isNotNull(), F.greatest(F.col("a") - F.col("secret_end"), F.col("secret_start") - F.col("b"), F.lit(0)))
+    return _reported(joined, F.min(gap).cast("int").alias("distance"))
+
+
+def _reported(joined: DataFrame, *more: Column) -> DataFrame:
+    """The secrets to report of those joined with their parts, with further aggregates."""
     keys = ["digest", "doc_id", "scope", "secret_start", "secret_end", "strength", "secret_sha256"]
     one = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.struct("a", "b"))).cast("int")
-    out = joined.groupBy(*keys).agg(one("id").alias("n_ids"), one("endpoint").alias("n_endpoints"))
+    out = joined.groupBy(*keys).agg(one("id").alias("n_ids"), one("endpoint").alias("n_endpoints"), *more)
     out = out.where("strength = 'strong' or n_ids > 0 or n_endpoints > 0")
     link = F.concat(F.when(F.col("n_ids") > 0, F.lit("id+")).otherwise(F.lit("")), F.lit("secret"), F.when(F.col("n_endpoints") > 0, F.lit("+endpoint")).otherwise(F.lit("")))
-    return out.select("doc_id", "scope", "secret_start", "secret_end", "strength", "n_ids", "n_endpoints", link.alias("link"), "secret_sha256")
+    return out.select("doc_id", "scope", "secret_start", "secret_end", "strength", "n_ids", "n_endpoints", *[x for x in out.columns if x == "distance"], link.alias("link"), "secret_sha256")

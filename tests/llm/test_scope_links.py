@@ -1,0 +1,39 @@
+from __future__ import annotations
+
+import re
+
+from sluicebox.llm.secretscan import PATTERNS, SCOPE, WINDOW, scope_links
+
+SECRET = 'token = "0123456789abcdef"'
+FAR = "x " * WINDOW
+CASES = [
+    (1, f"login: carol\n{FAR}{SECRET}"), (2, f"{SECRET} {FAR}https://api.example.org/v1\n{FAR}login: carol"), (3, f"login: carol\n \n{SECRET}"), (4, SECRET),
+    (5, f"{FAR}{'ghp_' + 'a1' * 18} {FAR}a@b.org"), (6, "ghp_" + "a1" * 18), (None, f"AKIA{'A' * 16} {FAR}{SECRET}"), (7, None), (8, ""), (1, f"login: carol\n{FAR}{SECRET}"),
+]
+
+
+def brute(docs):
+    out = set()
+    for doc_id, text in {(d, t) for d, t in docs if t}:
+        for scope, body in enumerate(re.split(SCOPE, text)):
+            found = {k: [m.span() for m in re.finditer(p, body)] for k, p in PATTERNS.items()}
+            for kind in ("strong", "weak"):
+                for a, b in found[kind]:
+                    gaps = [max(x - b, a - y, 0) for k in ("id", "endpoint") for x, y in found[k]]
+                    if kind == "strong" or gaps:
+                        out.add((doc_id, scope, a, b, kind, len(found["id"]), len(found["endpoint"]), min(gaps, default=None)))
+    return out
+
+
+def found(df):
+    return [(r.doc_id, r.scope, r.secret_start, r.secret_end, r.strength, r.n_ids, r.n_endpoints, r.distance) for r in df.collect()]
+
+
+def test_parts_link_across_the_whole_scope(spark, messy):
+    got = found(scope_links(spark.createDataFrame(CASES, "doc_id bigint, text string")))
+    assert len(got) == len(set(got))
+    assert set(got) == brute(CASES)
+    assert {g[0] for g in got} == {1, 2, 5, 6, None}
+    assert min(g[7] for g in got if g[0] == 1) > WINDOW
+    docs = [(r.doc_id, r.text) for r in messy.collect()]
+    assert set(found(scope_links(messy))) == brute(docs) != set()
