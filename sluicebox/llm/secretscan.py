@@ -19,10 +19,11 @@ from sluicebox.llm.common import digest, narrow
 WINDOW = 400
 #: A scope ends at a blank line.
 SCOPE = r"\n[ \t\r]*\n"
+#: A name may have anything before its keyword (DB_PASSWORD, dbPassword) and a quote behind it (JSON); the match begins at the keyword.
 PATTERNS = {
     "strong": r"-----BEGIN [A-Z ]*PRIVATE KEY-----|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
-    "weak": r"""(?i:\b(?:token|secret|secret_access_key|password|passwd|pwd|api_?key)[ \t]*[=:][ \t]*["']?)[A-Za-z0-9/+_.=-]{8,}""",
-    "id": r"""\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:client_id|access_key_id|username|user|account|login)[ \t]*[=:][ \t]*["']?)[A-Za-z0-9_.@-]{3,}|[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}""",
+    "weak": r"""(?i:(?:token|secret|secret_access_key|password|passwd|pwd|api_?key)["']?[ \t]*[=:][ \t]*["']?)[A-Za-z0-9/+_.=-]{8,}""",
+    "id": r"""\bAKIA[0-9A-Z]{16}\b|(?i:(?:client_id|access_key_id|username|user|account|login)["']?[ \t]*[=:][ \t]*["']?)[A-Za-z0-9_.@-]{3,}|[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}""",
     "endpoint": r"""(?i:https?|ftp|ssh|amqp|redis|mongodb|mysql|postgres|postgresql)://[^\s"'<>]+|\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b|(?i:\b(?:host|server|endpoint)[ \t]*[=:][ \t]*["']?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""",
 }
 
