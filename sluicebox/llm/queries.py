@@ -36,6 +36,10 @@ def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "hit_words", "n_spans", "n_items", F.when(share >= decontam.DROP_SHARE, "drop").otherwise("cut").alias("action"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mpegts.demultiplex(mpegts.page_streams(table(spark, sf_dir, "pages")), "page_id", "ts")
     return found.withColumn("payload", F.decode("payload", "UTF-8")).withColumnRenamed("id", "page_id")
@@ -63,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_credential_links, op2_histogram_sort, op3_pack, op4_contamination, op5_transport_streams, op6_toxicity, op7_line_bitmaps, op8_near_groups, op9_packaged_archives, op10_token_counts, op1_scope_links)
+    own = (op1_credential_links, op2_histogram_sort, op3_pack, op4_contamination, op5_transport_streams, op6_toxicity, op7_line_bitmaps, op8_near_groups, op9_packaged_archives, op10_token_counts, op1_scope_links, op4_decontaminate)
     return {f.__name__: f for f in own}
 
 
