@@ -25,6 +25,7 @@ def groups(nodes, edges):
 
     def find(x):
         while head[x] != x:
+            head[x] = head[head[x]]
             x = head[x]
         return x
 
