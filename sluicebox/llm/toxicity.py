@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import narrow, text_slices, unused
+from sluicebox.llm.common import narrow, text_slices, unused, written
 
 #: Labelled documents that the classifier is fitted on at most (those of the least hash of doc_id).
 FIT_ROWS = 20_000
-#: A feature needs at most this chance of its toxic share arising from the overall share.
+#: A feature needs at most this chance of its toxic share arising from the overall share,
 SIGNIFICANCE = 1e-7
+#: and at least so many toxic documents, which are at least this share of the documents that have it.
+LEAST_TOXIC, LEAST_SHARE = 4, 0.9
 #: Word tokens that a worker remembers; beyond it, it starts anew (memory, not results).
 REMEMBERED = 300_000
 
@@ -41,8 +43,11 @@ for _c, _k in CODE.items():
 #: What a sign may stand for, with the channel's log probability.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l"}
 _SUB, _DROP, _JOIN, _DOUBLE = math.log(0.3), math.log(0.0005), math.log(0.5), math.log(0.02)
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*]{1,3}(?:[^\W_]|[@$!|+])(?![^\W_])){2,}")
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|])(?:[ .\-_*/,|~·]{1,3}(?:[^\W_]|[@$!|+])(?![^\W_])){2,}")
+#: A bar between two letters set apart is a separator, not a letter.
+_BAR = re.compile(r"(?<=[^\W_])\|(?=[^\W_])")
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"(.)\1+", re.S)
 _SIGN = re.compile(r"[0-9@$!|+€(¡£*._\-]")
 _EDGE = ".,;:?\"'()[]{}<>%&#*-_…«»„“”"
 
@@ -97,7 +102,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options = [(c * min(n, 2), 0.0)] if n < 3 else [(c, _SUB), (c + c, _SUB + _DOUBLE)]
             if n == 2:
                 options = [(c + c, 0.0), (c, _DOUBLE)]
-        elif c in " .-_*":
+        elif c in " .-_*/,~·":
             options = [("", _JOIN * n), (" ", _JOIN)]
         else:
             letters = LEET.get(c, "")
@@ -136,12 +141,19 @@ def disfigured(token: str) -> bool:
     return bool(_SIGN.search(token)) and any(c.isalpha() for c in token) and (not token.isalpha())
 
 
+def once(token: str) -> str:
+    return _TWICE.sub(r"\1", token)
+
+
 class Scorer:
     """Weights of words (prefix features by length), the model, and what a worker remembers."""
 
     def __init__(self, words: dict[str, float], starts: dict[str, float], model: np.ndarray):
         self.words, self.starts, self.model = words, starts, model
         self.lengths = sorted({len(x) for x in starts})
+        # What words and beginnings look like with each run of a letter written once.
+        self.once = {once(x) for x in words}
+        self.once_starts = tuple({once(x) for x in starts})
         self.known: dict[str, tuple[float, int]] = {}
 
     def weight(self, word: str) -> float:
@@ -151,6 +163,22 @@ class Scorer:
                 found = max(found, self.starts.get(word[:n], 0.0))
         return found
 
+    def hides(self, token: str) -> bool:
+        """Whether a token may hide a word: it is disfigured, or a letter written twice is all that parts it from one.
+
+        The lattice of a token of letters alone has only readings that are the same with each run written once, so no other one can score.
+        """
+        if len(token) < 3:
+            return False
+        if disfigured(token):
+            return True
+        single = once(token)
+        return single != token and any(x in self.once or x.startswith(self.once_starts) for x in re.split(r"[\W_]+", single))
+
+    def restored(self, text: str) -> list[float]:
+        """The weights above 0 of the words of the likeliest reading."""
+        return [w for w in map(self.weight, restore(text, self.model).split()) if w]
+
     def token(self, token: str) -> tuple[float, int]:
         """(weight, whether it was restored) of one white-space token."""
         got = self.known.get(token)
@@ -160,10 +188,12 @@ class Scorer:
             bare = token.strip(_EDGE)
             plain = bare.strip(_EDGE + "!$@|")
             got = (max((self.weight(w) for w in re.split(r"[\W_]+", plain)), default=0.0), 0)
-            if not got[0] and 2 < len(bare) and disfigured(bare):
-                # A very long token (a key, an encoded blob) is read in one pass too: the search is linear in its length.
-                w = max((self.weight(x) for x in restore(bare, self.model).split()), default=0.0)
-                got = (w, int(w > 0))
+            # A bracket in front may be a letter's look-alike: read with it, where the token without it gives nothing.
+            for x in (bare, token.strip(_EDGE.replace("(", ""))) if "(" in token else (bare,):
+                if not got[0] and self.hides(x):
+                    # A very long token (a key, an encoded blob) is read in one pass too: the search is linear in its length.
+                    w = max(self.restored(x), default=0.0)
+                    got = (w, int(w > 0))
             self.known[token] = got
         return got
 
@@ -180,13 +210,10 @@ class Scorer:
                 hits += 1
                 restored += r
         for m in SPACED.finditer(lower):
-            if len(set(m[0])) > 3:
-                for word in restore(m[0], self.model).split():
-                    w = self.weight(word)
-                    if w and len(word) > 2:
-                        total += w
-                        hits += 1
-                        restored += 1
+            for w in self.restored(_BAR.sub(" ", m[0])):
+                total += w
+                hits += 1
+                restored += 1
         return total, hits, restored
 
 
@@ -215,23 +242,30 @@ class Fitted:
 def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, rows: int = FIT_ROWS) -> Fitted:
     """A scorer and the threshold from which on a document is toxic.
 
-    ``labels`` gives ``doc_id, toxic`` (null in either: not used). At most ``rows`` labelled
-    documents are used. The trigram model is counted over all of ``corpus`` (docs where not
-    given). Without toxic or without clean labels, nothing is toxic. Equal labelled texts count
-    once.
+    ``labels`` gives ``doc_id, toxic`` (null in either: not used). At most ``rows`` labelled ids,
+    and of their documents at most ``rows`` distinct texts, are used, those of the least hashes;
+    equal texts count once, as toxic if one label says so. A feature of these texts (a word of
+    three letters or more, or its first 4, 5 or 6) counts if at least LEAST_TOXIC toxic texts
+    have it, they are at least LEAST_SHARE of the texts with it, and SIGNIFICANCE holds. The
+    trigram model is counted over all of ``corpus`` (docs where not given). Without toxic or
+    without clean labels, nothing is toxic.
     """
     spark = docs.sparkSession
     marks = narrow(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
-    sample = narrow(docs, "doc_id", "text").where("text is not null and doc_id is not null").join(marks, F.col("doc_id") == F.col("label_id")).select("text", "toxic").dropDuplicates(["text"])
+    # At most ``rows`` rows, so the labels go to the texts: the corpus isn't exchanged.
+    labelled = narrow(docs, "doc_id", "text").where("text is not null and doc_id is not null").join(F.broadcast(marks), F.col("doc_id") == F.col("label_id"))
+    sample = written(labelled.groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
+    if sample.count() > rows:  # ids that many texts share
+        least = sample.select(F.xxhash64("text").alias("h"), "text").select("h", F.sha2("text", 256).alias("s")).orderBy("h", "s").limit(rows)
+        sample = written(sample.join(F.broadcast(least), F.sha2("text", 256) == F.col("s"), "left_semi"), "sample")
     counts = sample.mapInArrow(_features, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    sizes = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    n, t = sizes
+    n, t = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not t or t == n:
         return Fitted(Scorer({}, {}, np.zeros((SIZE, SIZE, SIZE), np.float32)), math.inf)
     share = t / n
     # Bounded by the sample: only features far above chance leave the executors.
-    strong = counts.where((F.col("t") >= 4) & (F.col("t") / F.col("n") >= 0.9)).collect()
+    strong = counts.where((F.col("t") >= LEAST_TOXIC) & (F.col("t") / F.col("n") >= LEAST_SHARE)).orderBy("feature").collect()
     words: dict[str, float] = {}
     starts: dict[str, float] = {}
     for feature, k, m in strong:
