@@ -9,6 +9,7 @@ once, straight to their shard.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,8 @@ def splitters(sized: DataFrame, shards: int, tolerance: float = TOLERANCE, probe
     Splitter i is the least key found such that the weight of smaller keys is at least i / shards
     of the whole, off by at most ``tolerance`` of a shard's share; with tolerance 0 it is the
     least such key at all. Rows of equal keys are never parted, however heavy; then shards can
-    be empty. A shard holds its splitter's key and the keys up to the next splitter. An empty
-    table has splitters of 0.
+    be empty. A shard holds its splitter's key and the keys up to the next splitter. Splitters
+    above the greatest bigint, which no key reaches, are left out. An empty table has splitters of 0.
     """
     low, high, total = sized.agg(F.min("k"), F.max("k"), F.sum("w")).first()
     if low is None:
@@ -68,11 +69,11 @@ def splitters(sized: DataFrame, shards: int, tolerance: float = TOLERANCE, probe
                 wanted.update(lo[i] + gap * j // (probes + 1) for j in range(1, probes + 1))
                 wanted.discard(lo[i])
         if not wanted:
-            return np.array(hi, dtype=np.int64), total, rounds
+            return np.array([x for x in hi if x < 1 << 63], dtype=np.int64), total, rounds
         rounds += 1
-        edges = np.array(sorted(wanted), dtype=np.int64)
+        edges = sorted(wanted)
         spark = sized.sparkSession
-        sent = spark.sparkContext.broadcast(edges)  # shards * probes numbers at most
+        sent = spark.sparkContext.broadcast(np.array(edges, dtype=np.int64))  # shards * probes numbers at most
         found = sized.mapInArrow(_histogram(sent), "slot bigint, w bigint").groupBy("slot").agg(F.sum("w").alias("w")).collect()
         counts = np.zeros(len(edges) + 1, dtype=np.int64)
         for slot, w in found:
@@ -81,12 +82,12 @@ def splitters(sized: DataFrame, shards: int, tolerance: float = TOLERANCE, probe
         for i in range(shards - 1):
             if not (hi[i] - lo[i] > 1 and below_hi[i] - targets[i] > slack):
                 continue
-            a, b = np.searchsorted(edges, lo[i], side="right"), np.searchsorted(edges, hi[i], side="left")
+            a, b = bisect_right(edges, lo[i]), bisect_left(edges, hi[i])
             j = a + int(np.searchsorted(below[a:b], targets[i], side="left"))
             if j < b:
-                hi[i], below_hi[i] = int(edges[j]), int(below[j])
+                hi[i], below_hi[i] = edges[j], int(below[j])
             if j > a:
-                lo[i] = int(edges[j - 1])
+                lo[i] = edges[j - 1]
 
 
 def shard_of(bounds: np.ndarray, key: Column) -> Column:

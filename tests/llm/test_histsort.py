@@ -48,6 +48,14 @@ def test_all_rows_move_once_to_their_shard(spark, messy):
         assert keys == sorted(keys)
 
 
+def test_the_greatest_and_the_least_key(spark):
+    top, low = 2**63 - 1, -(2**63)
+    docs = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate([top] * 5 + [low] * 3 + [0, 1, None])], "doc_id bigint, text string")
+    got = histogram_sort(docs, F.col("doc_id"), shards=4).collect()
+    bounds = least_keys([(r.shard_key, len(r.text) + 1) for r in got], 4)
+    assert len(got) == 11 and all(shard(bounds, r.shard_key) == r.shard for r in got)
+
+
 def test_empty_and_null_tables(spark, empty, nulls):
     assert histogram_sort(empty, hash_key("doc_id")).collect() == []
     assert len(histogram_sort(nulls, F.col("doc_id"), shards=3).collect()) == 3

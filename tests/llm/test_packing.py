@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from sluicebox.llm.common import digest
-from sluicebox.llm.packing import pack
+from sluicebox.llm.packing import cuts, pack
 from sluicebox.llm.tokenizers import DEFAULT_PATH, encoding, load_ranks
 
 
@@ -51,6 +54,21 @@ def test_a_document_longer_than_a_bucket_and_ties(spark):
     assert got(pack(docs, 50, bucket_tokens=100)) == brute(docs, 50)
 
 
+@pytest.mark.parametrize("hot", [None, 7, 2**63 - 1, -(2**63)])
+def test_an_id_heavier_than_buckets_is_cut_within(spark, hot):
+    rows = [(hot, f"text number {i} of the same id") for i in range(60)] + [(hot, "again and again the same row")] * 50 + [(i, f"row {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).cache()
+    out = pack(docs, 32, bucket_tokens=100)
+    assert got(out) == brute(docs, 32)
+    coded = docs.select("doc_id", digest().alias("digest"), F.length("text").cast("bigint").alias("n"), F.xxhash64(F.monotonically_increasing_id()).alias("row"))
+    found = cuts(coded, F.coalesce("doc_id", F.lit(-(2**63))), 12, 300)
+    sizes = Counter()
+    for r in coded.collect():
+        k = -(2**63) if r.doc_id is None else r.doc_id
+        sizes[bisect_right(found, (k, r.doc_id is not None, r.digest, r.row))] += r.n
+    assert max(sizes.values()) < 900 < sum(sizes.values()) / 3
+
+
 def test_no_tokens_no_windows(spark, empty, nulls):
     assert pack(empty).collect() == pack(nulls).collect() == []
     assert pack(spark.createDataFrame([(1, "")], "doc_id bigint, text string")).agg(F.count("*")).first()[0] == 0
