@@ -1,9 +1,10 @@
 """Benchmark decontamination by normalised word n-grams.
 
 The n-grams of all benchmark items form a hash set. While it is small (its size is checked) it
-is broadcast and each document's token windows are tested against it in one narrow pass; beyond
-that size the documents' window hashes are joined with the set by a shuffle. Both ways verify a
-hash hit word by word and give the same hits.
+is broadcast and each document's token windows are tested against it in one narrow pass, which
+also cuts the text: no row is exchanged. Beyond that size the documents' window hashes (without
+words) are joined with the set's by a shuffle, and only documents with a hash hit are met again
+with their text. Both ways verify a hash hit word by word and give the same hits.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.functions.text import let
-from sluicebox.llm.common import WORD, digest, narrow, text_slices, unused
+from sluicebox.llm.common import SLICE_CHARS, WORD, digest, narrow, text_slices, unused, written
 
 #: Words of a window; an item of fewer words is one window of its own length.
 NGRAM = 8
@@ -31,7 +33,11 @@ _SPAN = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """The words in lower case, as many as the text itself has: a letter whose lower case is two characters doesn't shift them."""
+    if not text:
+        return []
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
 class NgramSet:
@@ -93,21 +99,61 @@ def _spans(hits: list[tuple[int, int, list[int]]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
+def _hits_of(texts: list[str | None], table: NgramSet) -> tuple[np.ndarray, dict[int, list[tuple[int, int, list[int]]]]]:
+    """The number of words of each text, and the hits of those that have any."""
+    get = table.vocabulary.get
+    words = [words_of(t) for t in texts]
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    # All documents end to end, with a stop (0) behind each: no benchmark window holds a 0.
+    ids = np.fromiter((get(w, 0) for ws in words for w in (*ws, "")), dtype=np.int64, count=int(sizes.sum()) + len(words))
+    starts = np.r_[0, np.cumsum(sizes + 1)]
+    by_doc: dict[int, list] = {}
+    for j, size, items in _find(ids, table):
+        doc = int(np.searchsorted(starts, j, side="right")) - 1
+        by_doc.setdefault(doc, []).append((j - int(starts[doc]), size, items))
+    return sizes, by_doc
+
+
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without these word ranges, each from its first word's first character to its last word's last one."""
+    at = [m.span() for m in WORD.finditer(text)]
+    out, end = [], 0
+    for a, b in spans:
+        out.append(text[end : at[a][0]])
+        end = at[b - 1][1]
+    return "".join((*out, text[end:]))
+
+
+def _cleaned(grams, drop_share: float) -> Callable:  # noqa: ANN001
+    @F.pandas_udf("text string, gone boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """The text where it changes, and whether the document goes."""
+        for batch in batches:
+            texts = batch.tolist()
+            new: list[str | None] = [None] * len(texts)
+            gone = [False] * len(texts)
+            start = size = 0
+            for end in range(1, len(texts) + 1):
+                size += len(texts[end - 1] or "")
+                if end < len(texts) and size < SLICE_CHARS:
+                    continue
+                sizes, by_doc = _hits_of(texts[start:end], grams.value)
+                for doc, hits in by_doc.items():
+                    spans = _spans(hits)
+                    if sum(b - a for a, b in spans) / sizes[doc] >= drop_share:
+                        gone[start + doc] = True
+                    else:
+                        new[start + doc] = cut(texts[start + doc], spans)
+                start, size = end, 0
+            yield pd.DataFrame({"text": pd.Series(new, dtype=object), "gone": gone})
+
+    return clean.asNondeterministic()  # so that it isn't run once for the filter and again for the text
+
+
 def _scan(grams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = grams.value
-        get = table.vocabulary.get
         for batch in text_slices(batches):
-            texts = batch.column("text").to_pylist()
-            words = [words_of(t) for t in texts]
-            sizes = np.array([len(w) for w in words], dtype=np.int64)
-            # All documents end to end, with a stop (0) behind each: no benchmark window holds a 0.
-            ids = np.fromiter((get(w, 0) for ws in words for w in (*ws, "")), dtype=np.int64, count=int(sizes.sum()) + len(words))
-            starts = np.r_[0, np.cumsum(sizes + 1)]
-            by_doc: dict[int, list] = {}
-            for j, size, items in _find(ids, table):
-                doc = int(np.searchsorted(starts, j, side="right")) - 1
-                by_doc.setdefault(doc, []).append((j - int(starts[doc]), size, items))
+            sizes, by_doc = _hits_of(batch.column("text").to_pylist(), grams.value)
             if not by_doc:
                 continue
             rows = {x.name: [] for x in _SCHEMA}
@@ -123,31 +169,47 @@ def _scan(grams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_words", pa.int32()), ("hit_words", pa.int32()), ("n_spans", pa.int32()), ("n_items", pa.int32()), ("spans", _SPAN)])
 
 
+def _hash(gram: str) -> int:
+    return xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _grams(words: list[str], size: int) -> list[str]:
+    return [" ".join(words[j : j + size]) for j in range(len(words) - size + 1)]
+
+
 def _windows(sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each window of each document, for the way without a broadcast: its hash by words, and the words."""
+    """The hash of each window of each document, for the way without a broadcast."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            for doc_id, sha, text in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "digest", "text"))):
+            for sha, text in zip(*(batch.column(x).to_pylist() for x in ("digest", "text"))):
                 words = words_of(text)
                 for size in sizes:
-                    grams = [" ".join(words[j : j + size]) for j in range(len(words) - size + 1)]
-                    if grams:
-                        k = len(grams)
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * k, pa.int64()), "digest": pa.array([sha] * k, pa.int64()), "n_words": pa.array([len(words)] * k, pa.int32()), "start": pa.array(range(k), pa.int32()), "size": pa.array([size] * k, pa.int32()), "gram": grams})
+                    hashes = [_hash(g) for g in _grams(words, size)]
+                    if hashes:
+                        k = len(hashes)
+                        yield pa.RecordBatch.from_pydict({"digest": pa.array([sha] * k, pa.int64()), "start": pa.array(range(k), pa.int32()), "size": pa.array([size] * k, pa.int32()), "h": pa.array(hashes, pa.int64())})
 
     return windows
 
 
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the windows whose hash was met."""
+    for batch in text_slices(batches):
+        for doc_id, sha, text, at in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "digest", "text", "at"))):
+            words, k = words_of(text), len(at)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * k, pa.int64()), "digest": pa.array([sha] * k, pa.int64()), "n_words": pa.array([len(words)] * k, pa.int32()), "start": pa.array([x["start"] for x in at], pa.int32()), "size": pa.array([x["size"] for x in at], pa.int32()), "gram": [" ".join(words[x["start"] : x["start"] + x["size"]]) for x in at]})
+
+
 def _items(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(text)
                 size = min(n, len(words))
-                grams = sorted({" ".join(words[j : j + size]) for j in range(len(words) - size + 1)}) if size else []
+                grams = sorted(set(_grams(words, size))) if size else []
                 if grams:
-                    yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(grams), pa.int64()), "size": pa.array([size] * len(grams), pa.int32()), "gram": grams})
+                    yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(grams), pa.int64()), "size": pa.array([size] * len(grams), pa.int32()), "gram": grams, "h": pa.array([_hash(g) for g in grams], pa.int64())})
 
     return items
 
@@ -161,6 +223,14 @@ def _merge(key: tuple, pdf):  # noqa: ANN001, ANN202
     return out
 
 
+def _broadcast(items: DataFrame, n: int, limit: int):  # noqa: ANN202
+    """The broadcast n-gram set, or None where the items' text is larger than the limit."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    if size > limit:
+        return None
+    return items.sparkSession.sparkContext.broadcast(NgramSet([tuple(r) for r in items.orderBy("item_id", "text").toLocalIterator()], n))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per contaminated document: ``doc_id, digest, n_words, hit_words, n_spans, n_items, spans``.
 
@@ -173,16 +243,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, broadca
     """
     rows = narrow(docs, "doc_id", "text").where("text is not null").withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("digest", digest())
     items = narrow(benchmark, "item_id", "text").where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    if size <= broadcast_bytes:
-        # Bounded by the check above, not by the size of docs.
-        grams = docs.sparkSession.sparkContext.broadcast(NgramSet([tuple(r) for r in items.orderBy("item_id", "text").toLocalIterator()], n))
+    grams = _broadcast(items, n, broadcast_bytes)
+    if grams is not None:
         found = rows.mapInArrow(_scan(grams), _HITS)
     else:
-        table = items.withColumn("item", F.monotonically_increasing_id()).mapInArrow(_items(n), "item bigint, size int, gram string")
+        table = items.withColumn("item", F.monotonically_increasing_id()).mapInArrow(_items(n), "item bigint, size int, gram string, h bigint")
+        table = written(table, "grams")
         sizes = [r["size"] for r in table.select("size").distinct().collect()]  # at most n of them
-        windows = rows.mapInArrow(_windows(sorted(sizes)), "doc_id bigint, digest bigint, n_words int, start int, size int, gram string")
-        found = windows.join(table, ["size", "gram"]).groupBy("doc_id", "digest").applyInPandas(_merge, _HITS)
+        hashed = rows.mapInArrow(_windows(sorted(sizes)), "digest bigint, start int, size int, h bigint")
+        met = hashed.join(table.select("size", "h").distinct(), ["size", "h"], "left_semi")
+        near = met.groupBy("digest").agg(F.collect_set(F.struct("start", "size")).alias("at"))  # windows of one text
+        texts = rows.join(near, "digest").dropDuplicates(["digest", "doc_id"]).select("doc_id", "digest", "text", "at")
+        words = texts.mapInArrow(_candidates, "doc_id bigint, digest bigint, n_words int, start int, size int, gram string")
+        found = words.join(table.drop("h"), ["size", "gram"]).groupBy("doc_id", "digest").applyInPandas(_merge, _HITS)
     return found.dropDuplicates(["doc_id", "digest"])
 
 
@@ -194,25 +267,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, drop_sh
     ``n_chars``, where there is one, follows the text. Null texts and clean documents stay as
     they are; repeated rows stay repeated.
     """
-    sha, id_, text_, share_ = (unused(docs, x) for x in ("digest", "hit_id", "cut_text", "hit_share"))
-    hits = contamination(docs, benchmark, n, broadcast_bytes).withColumn(share_, F.col("hit_words") / F.col("n_words"))
-    hits = hits.select(F.col("doc_id").alias(id_), F.col("digest").alias(sha + "_b"), share_, F.col("spans").alias(text_))
-    same = (F.col("doc_id") == F.col(id_)) | (F.col("doc_id").isNull() & F.col(id_).isNull())
-    # Only contaminated rows take part in the cut; the rest pass through the join untouched.
-    joined = docs.withColumn(sha, digest()).join(hits, (F.col(sha) == F.col(sha + "_b")) & same, "left")
-    out = joined.where(F.col(share_).isNull() | (F.col(share_) < F.lit(float(drop_share))))
-    out = out.withColumn("text", F.when(F.col(text_).isNull(), F.col("text")).otherwise(_cut_column(F.col("text"), F.col(text_))))
+    new, items = unused(docs, "cleaned"), narrow(benchmark, "item_id", "text").where("text is not null")
+    grams = _broadcast(items, n, broadcast_bytes)
+    if grams is not None:
+        out = docs.withColumn(new, _cleaned(grams, drop_share)(F.col("text"))).where(~F.col(new)["gone"]).withColumn("text", F.coalesce(F.col(new)["text"], F.col("text")))
+    else:
+        sha, id_, text_, share_ = (unused(docs, x) for x in ("digest", "hit_id", "cut_text", "hit_share"))
+        hits = contamination(docs, benchmark, n, broadcast_bytes).withColumn(share_, F.col("hit_words") / F.col("n_words"))
+        hits = hits.select(F.col("doc_id").alias(id_), F.col("digest").alias(sha + "_b"), share_, F.col("spans").alias(text_))
+        same = (F.col("doc_id") == F.col(id_)) | (F.col("doc_id").isNull() & F.col(id_).isNull())
+        joined = docs.withColumn(sha, digest()).join(hits, (F.col(sha) == F.col(sha + "_b")) & same, "left")
+        out = joined.where(F.col(share_).isNull() | (F.col(share_) < F.lit(float(drop_share))))
+        out = out.withColumn("text", F.when(F.col(text_).isNull(), F.col("text")).otherwise(_cut_text(F.col("text"), F.col(text_))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
-def _cut_column(text: Column, spans: Column) -> Column:
-    """Text without these word ranges. Splitting at words keeps what stands between them: gaps[i] precedes word i."""
-    pattern = r"[\p{L}\p{N}_]+"
-    # A gap goes with the words on both sides of it if one span holds both.
-    in_span = lambda i: F.exists(spans, lambda s: (s["a"] <= i) & (i < s["b"]))
-    inner = lambda i: F.exists(spans, lambda s: (s["a"] < i) & (i < s["b"]))
-    piece = lambda words, g, i: F.concat(F.when(inner(i), F.lit("")).otherwise(g), F.when(in_span(i), F.lit("")).otherwise(F.coalesce(F.get(words, i), F.lit(""))))
-    rest = lambda words: F.transform(F.split(text, pattern, -1), lambda g, i: piece(words, g, i))
-    return F.array_join(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rest), "")
+def _cut_text(text: Column, spans: Column) -> Column:
+    @F.pandas_udf("string")
+    def cut_all(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else cut(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(texts, found)], dtype=object)
+
+    return cut_all(text, spans)

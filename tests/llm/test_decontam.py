@@ -12,18 +12,19 @@ FILL = " ".join(f"filler{i}" for i in range(60))
 DOCS = [
     (1, f"{FILL} The QUICK, brown fox; jumps over the lazy dog and runs away from the hungry bear. {FILL}"), (2, ITEM), (3, FILL), (4, f"{FILL} short item, here {FILL}"), (5, "quick brown fox jumps"),
     (6, f"{FILL} quick brown fox jumps over the lazy dog {FILL} dog and runs away from the hungry bear {FILL}"), (7, None), (8, ""), (1, FILL), (None, f"{ITEM} {FILL}"), (3, FILL), (9, "short item"),
+    (10, f"İİİ Σας {FILL} {ITEM} İ {FILL} {FILL}"), (11, f"{FILL} {ITEM} {FILL}"), (11, f"{FILL} {ITEM} {FILL}"),
 ]
 D, B = "doc_id bigint, text string", "item_id bigint, text string"
 
 
 def words(t):
-    return [(m.start(), m.end(), m[0]) for m in re.finditer(r"\w+", (t or "").lower())]
+    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", t or "")]
 
 
-def spans(text, n=NGRAM):
+def spans(text, n=NGRAM, bench=None):
     w = [x[2] for x in words(text)]
     hits = set()
-    for _, item in BENCH:
+    for _, item in BENCH if bench is None else bench:
         b = [x[2] for x in words(item)]
         size = min(n, len(b))
         grams = {tuple(b[j : j + size]) for j in range(len(b) - size + 1)} if size else set()
@@ -39,6 +40,10 @@ def spans(text, n=NGRAM):
     return out
 
 
+def n_items(text):
+    return sum(bool(spans(text, bench=[x])) for x in BENCH)
+
+
 def cut(text, drop=DROP_SHARE):
     s, w = spans(text), words(text)
     if not s:
@@ -53,8 +58,8 @@ def cut(text, drop=DROP_SHARE):
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_hits_equal_brute_force_both_ways(spark, limit):
     df = contamination(spark.createDataFrame(DOCS, D), spark.createDataFrame(BENCH, B), broadcast_bytes=limit)
-    got = sorted((str(r.doc_id), r.n_words, [[s.a, s.b] for s in r.spans], r.n_spans, r.hit_words) for r in df.collect())
-    want = sorted((str(d), len(words(t)), s, len(s), sum(b - a for a, b in s)) for d, t in set(DOCS) if (s := spans(t)))
+    got = sorted((str(r.doc_id), r.n_words, [[s.a, s.b] for s in r.spans], r.n_spans, r.hit_words, r.n_items) for r in df.collect())
+    want = sorted((str(d), len(words(t)), s, len(s), sum(b - a for a, b in s), n_items(t)) for d, t in set(DOCS) if (s := spans(t)))
     assert got == want
 
 
