@@ -40,16 +40,17 @@ def crc32_mpeg(data: bytes) -> int:
 
 
 def packets(data: bytes) -> np.ndarray:
-    """The packets as rows. After lost sync, the next sync byte that another one follows a packet later starts anew."""
+    """The packets as rows. Sync holds from packet to packet; once lost, the next sync byte that another one follows a packet later (or the end) starts anew."""
     raw = np.frombuffer(data, dtype=np.uint8)
     if len(raw) % PACKET == 0 and len(raw) and (raw[::PACKET] == 0x47).all():
         return raw.reshape(-1, PACKET)
-    rows, at = [], 0
+    rows, at, held = [], 0, False
     while at + PACKET <= len(raw):
-        if raw[at] == 0x47 and (at + PACKET >= len(raw) or raw[at + PACKET] == 0x47):
+        if raw[at] == 0x47 and (held or at + PACKET >= len(raw) or raw[at + PACKET] == 0x47):
             rows.append(raw[at : at + PACKET])
-            at += PACKET
+            at, held = at + PACKET, True
         else:
+            held = False
             nxt = np.flatnonzero(raw[at + 1 :] == 0x47)
             nxt = [x for x in (nxt[:4096] + at + 1).tolist() if x + PACKET >= len(raw) or raw[x + PACKET] == 0x47] if len(nxt) else []
             at = nxt[0] if nxt else (at + PACKET if not len(np.flatnonzero(raw[at + 1 :] == 0x47)) else at + 4096)
