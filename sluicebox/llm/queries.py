@@ -18,10 +18,6 @@ def op1_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.credential_links(table(spark, sf_dir, "documents"))
 
 
-def op1_scope_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secretscan.scope_links(table(spark, sf_dir, "documents"))
-
-
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histsort.histogram_sort(table(spark, sf_dir, "documents"), histsort.hash_key("doc_id"))
 
@@ -67,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_credential_links, op2_histogram_sort, op3_pack, op4_contamination, op5_transport_streams, op6_toxicity, op7_line_bitmaps, op8_near_groups, op9_packaged_archives, op10_token_counts, op1_scope_links, op4_decontaminate)
+    own = (op1_credential_links, op2_histogram_sort, op3_pack, op4_contamination, op5_transport_streams, op6_toxicity, op7_line_bitmaps, op8_near_groups, op9_packaged_archives, op10_token_counts, op4_decontaminate)
     return {f.__name__: f for f in own}
 
 
@@ -75,6 +71,16 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_GIVEN = r"""["']?[ \t]*[=:][ \t]*["']?"""
+#: The parts of credentials, spelt apart from the operator.
+_PARTS = {
+    "strong": "|".join([r"-----BEGIN [ A-Z]*PRIVATE KEY-----", r"gh[oprsu]_[0-9A-Za-z]{36}", r"xox[abprs]-[-0-9A-Za-z]{10,}", r"sk_live_[0-9A-Za-z]{16,}", r"eyJ[-0-9A-Z_a-z]{10,}\.eyJ[-0-9A-Z_a-z]{10,}\.[-0-9A-Z_a-z]{10,}"]),
+    "weak": f"(?i:token|secret|secret_access_key|password|passwd|pwd|api_key|apikey){_GIVEN}[-+./0-9=A-Z_a-z]{{8,}}",
+    "id": rf"\bAKIA[0-9A-Z]{{16}}\b|(?i:client_id|access_key_id|username|user|account|login){_GIVEN}[-.0-9@A-Z_a-z]{{3,}}|[0-9A-Za-z][-%+.0-9A-Z_a-z]*@[-.0-9A-Za-z]+\.[A-Za-z]{{2,}}",
+    "endpoint": r"""(?i:https|http|ftp|ssh|amqp|redis|mongodb|mysql|postgresql|postgres)://[^\s"'<>]+|\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b|\b(?i:host|server|endpoint)[ \t]*[=:][ \t]*["']?[-0-9A-Za-z]+(?:\.[-0-9A-Za-z]+)+""",
+}
+
+
 def _parts_sql() -> str:
     """One SELECT per kind of part: positions are sums of the pieces between the matches and of the matches."""
     total = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
@@ -83,35 +89,18 @@ def _parts_sql() -> str:
             {total.format("pieces[1:i]")} + {total.format("hits[1:i]")} AS b, hits[i] AS value
         FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
             SELECT doc_id, text, scope, regexp_extract_all(body, {_sql_text(p)}) AS hits, string_split_regex(body, {_sql_text(p)}) AS pieces FROM scopes))"""
-        for kind, p in secretscan.PATTERNS.items()
+        for kind, p in _PARTS.items()
     )
 
 
 def oracle_sql() -> dict[str, str]:
-    w, n = secretscan.WINDOW, decontam.NGRAM
-    secret = _sql_text(f"{secretscan.PATTERNS['strong']}|{secretscan.PATTERNS['weak']}")
+    n = decontam.NGRAM
+    secret = _sql_text(f"{_PARTS['strong']}|{_PARTS['weak']}")
     words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
     return {
         "op1_credential_links": f"""
             WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE regexp_matches(text, {secret})),
-            split AS (SELECT doc_id, text, string_split_regex(text, {_sql_text(secretscan.SCOPE)}) AS s FROM docs),
-            scopes AS (SELECT doc_id, text, unnest(range(len(s))) AS scope, unnest(s) AS body FROM split),
-            parts AS ({_parts_sql()}),
-            hits AS (SELECT * FROM parts WHERE kind IN ('strong', 'weak')),
-            linked AS (SELECT h.doc_id, h.text, h.scope, h.a, h.b, h.kind, h.value,
-                count(DISTINCT CASE WHEN p.kind = 'id' THEN p.a || ':' || p.b END) AS n_ids,
-                count(DISTINCT CASE WHEN p.kind = 'endpoint' THEN p.a || ':' || p.b END) AS n_endpoints
-              FROM hits h LEFT JOIN parts p ON p.kind IN ('id', 'endpoint') AND p.text = h.text AND p.doc_id IS NOT DISTINCT FROM h.doc_id
-                AND p.scope = h.scope AND p.a <= h.b + {w} AND p.b >= h.a - {w}
-              GROUP BY ALL)
-            SELECT doc_id, CAST(scope AS INTEGER) AS scope, CAST(a AS INTEGER) AS secret_start, CAST(b AS INTEGER) AS secret_end, kind AS strength,
-              CAST(n_ids AS INTEGER) AS n_ids, CAST(n_endpoints AS INTEGER) AS n_endpoints,
-              CASE WHEN n_ids > 0 THEN 'id+' ELSE '' END || 'secret' || CASE WHEN n_endpoints > 0 THEN '+endpoint' ELSE '' END AS link,
-              sha256(value) AS secret_sha256
-            FROM linked WHERE kind = 'strong' OR n_ids > 0 OR n_endpoints > 0""",
-        "op1_scope_links": f"""
-            WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE regexp_matches(text, {secret})),
-            split AS (SELECT doc_id, text, string_split_regex(text, {_sql_text(secretscan.SCOPE)}) AS s FROM docs),
+            split AS (SELECT doc_id, text, string_split_regex(text, '\n[ \t\r]*\n') AS s FROM docs),
             scopes AS (SELECT doc_id, text, unnest(range(len(s))) AS scope, unnest(s) AS body FROM split),
             parts AS ({_parts_sql()}),
             linked AS (SELECT h.doc_id, h.text, h.scope, h.a, h.b, h.kind, h.value,

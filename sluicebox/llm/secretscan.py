@@ -3,20 +3,19 @@
 One regular expression decides which scopes can hold a secret at all; only those are searched
 for the positions of all parts. Self-evident secrets are reported alone. A weak candidate (a
 generic assignment such as a token or password) is reported only if an access identifier or an
-endpoint stands within ``window`` characters of it in the same scope. Parts meet by equality of
-(document, scope, bin of ``window`` characters), with each secret in its bin and the neighbours.
-:func:`scope_links` has no window: the scope itself is the interval, and the distance is given.
+endpoint stands in the same scope, however far. The intervals of a scope are joined by a sweep:
+sorted by their start, each secret meets the part that ends last before it and the part that
+begins next, so no pairs are made; positions come from running sums in the same exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicebox.functions.text import let
 from sluicebox.llm.common import digest, narrow
 
-WINDOW = 400
 #: A scope ends at a blank line.
 SCOPE = r"\n[ \t\r]*\n"
 #: A name may have anything before its keyword (DB_PASSWORD, dbPassword) and a quote behind it (JSON); the match begins at the keyword.
@@ -29,65 +28,42 @@ PATTERNS = {
 
 
 def _matches(kind: str) -> Column:
-    """The scope's matches as (kind, start, end, value): positions are sums of the pieces between and of the matches."""
+    """The scope's matches in order, each with the length of the piece before it."""
     pattern = PATTERNS[kind]
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + F.length(x))
+    hits = lambda pieces: F.transform(F.regexp_extract_all("body", F.lit(pattern), F.lit(0)), lambda h, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(pieces, i)).alias("gap"), h.alias("value")))
+    return let(F.split("body", pattern, -1), hits)
 
-    def placed(pieces: Column, hits: Column) -> Column:
-        start = lambda i: total(F.slice(pieces, 1, i + 1)) + total(F.slice(hits, 1, i))
-        return F.transform(hits, lambda h, i: F.struct(F.lit(kind).alias("kind"), start(i).alias("a"), (start(i) + F.length(h)).alias("b"), h.alias("value")))
 
-    return let(F.split("body", pattern, -1), lambda pieces: let(F.regexp_extract_all("body", F.lit(pattern), F.lit(0)), lambda hits: placed(pieces, hits)))
-
-
-def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All parts of the scopes that hold a secret, and the secrets among them."""
-    rows = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    secret = F.col("text").rlike(f"{PATTERNS['strong']}|{PATTERNS['weak']}")
-    scopes = rows.where(secret).withColumn("digest", digest()).dropDuplicates(["doc_id", "digest"])
-    scopes = scopes.select("doc_id", "digest", F.posexplode(F.split("text", SCOPE, -1)).alias("scope", "body"))
-    scopes = scopes.where(F.col("body").rlike(f"{PATTERNS['strong']}|{PATTERNS['weak']}"))
-    parts = scopes.select("doc_id", "digest", "scope", F.inline(F.concat(*[_matches(k) for k in PATTERNS])))
-    hits = parts.where("kind in ('strong', 'weak')").select("digest", "doc_id", "scope", F.col("a").alias("secret_start"), F.col("b").alias("secret_end"), F.col("kind").alias("strength"), F.sha2("value", 256).alias("secret_sha256"))
-    return parts, hits
-
-
-def credential_links(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per reported secret: ``doc_id, scope, secret_start, secret_end, strength, n_ids, n_endpoints, link, secret_sha256``.
+def credential_links(docs: DataFrame) -> DataFrame:
+    """One row per reported secret: ``doc_id, scope, secret_start, secret_end, strength, n_ids, n_endpoints, distance, link, secret_sha256``.
 
     Scopes are the pieces between blank lines, numbered from 0; positions are characters within
-    the scope, the end exclusive. ``n_ids`` and ``n_endpoints`` count the parts that end at most
-    ``window`` characters before the secret or begin at most as many after it (a part that
-    overlaps it counts too). ``link`` names the parts: secret, id+secret, secret+endpoint or
-    id+secret+endpoint. The secret itself is given only as a hash. Null and empty texts give
-    nothing. Rows equal in doc_id and text are one document. Extra columns are ignored.
-    """
-    parts, hits = _found(docs)
-    near = parts.where("kind in ('id', 'endpoint')").select("digest", F.col("scope").alias("s2"), "kind", "a", "b", F.explode(F.sequence((F.col("a") / window).cast("int"), (F.col("b") / window).cast("int"))).alias("bin"))
-    binned = hits.withColumn("bin", F.explode(F.sequence((F.col("secret_start") / window).cast("int") - 1, (F.col("secret_end") / window).cast("int") + 1)))
-    # Null doc_ids are part of the digest, so the digest stands for the document here.
-    joined = binned.join(near.withColumnRenamed("digest", "d2"), (F.col("digest") == F.col("d2")) & (F.col("scope") == F.col("s2")) & (binned["bin"] == near["bin"]) & (F.col("a") <= F.col("secret_end") + window) & (F.col("b") >= F.col("secret_start") - window), "left")
-    return _reported(joined)
-
-
-def scope_links(docs: DataFrame) -> DataFrame:
-    """:func:`credential_links` with every part of the scope, however far: also ``distance`` after ``n_endpoints``.
-
-    ``distance`` is the number of characters between the secret and the nearest identifier or
-    endpoint of its scope: 0 where they touch or overlap, null where there is none.
+    the scope, the end exclusive. ``n_ids`` and ``n_endpoints`` count the parts of the secret's
+    scope; ``distance`` is the number of characters between the secret and the nearest of them: 0
+    where they touch or overlap, null where there is none. ``link`` names the parts: secret,
+    id+secret, secret+endpoint or id+secret+endpoint. The secret itself is given only as a hash.
+    Null and empty texts give nothing. Rows equal in doc_id and text are one document. Extra
+    columns are ignored.
     """
-    parts, hits = _found(docs)
-    near = parts.where("kind in ('id', 'endpoint')").select(F.col("digest").alias("d2"), F.col("scope").alias("s2"), "kind", "a", "b")
-    joined = hits.join(near, (F.col("digest") == F.col("d2")) & (F.col("scope") == F.col("s2")), "left")
-    gap = F.when(F.col("kind").isNotNull(), F.greatest(F.col("a") - F.col("secret_end"), F.col("secret_start") - F.col("b"), F.lit(0)))
-    return _reported(joined, F.min(gap).cast("int").alias("distance"))
-
-
-def _reported(joined: DataFrame, *more: Column) -> DataFrame:
-    """The secrets to report of those joined with their parts, with further aggregates."""
-    keys = ["digest", "doc_id", "scope", "secret_start", "secret_end", "strength", "secret_sha256"]
-    one = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.struct("a", "b"))).cast("int")
-    out = joined.groupBy(*keys).agg(one("id").alias("n_ids"), one("endpoint").alias("n_endpoints"), *more)
-    out = out.where("strength = 'strong' or n_ids > 0 or n_endpoints > 0")
+    rows = narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    secret = f"{PATTERNS['strong']}|{PATTERNS['weak']}"
+    scopes = rows.where(F.col("text").rlike(secret)).withColumn("digest", digest()).dropDuplicates(["doc_id", "digest"])
+    scopes = scopes.select("doc_id", "digest", F.posexplode(F.split("text", SCOPE, -1)).alias("scope", "body")).where(F.col("body").rlike(secret))
+    found = scopes.select("doc_id", "digest", "scope", F.inline(F.concat(*[_matches(k) for k in PATTERNS])))
+    # One exchange by scope serves all windows. A null doc_id is part of the digest, which so stands for the document.
+    found = found.repartition("digest", "scope")
+    ends = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("digest", "scope", "kind").orderBy("i"))
+    parts = found.withColumn("b", ends.cast("int")).withColumn("a", F.col("b") - F.length("value"))
+    scope = Window.partitionBy("digest", "scope")
+    other = lambda c: F.when(F.col("kind").isin("id", "endpoint"), F.col(c))
+    # Both frames grow from their first row, so each is one pass.
+    before = F.max(other("b")).over(scope.orderBy("a").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(other("a")).over(scope.orderBy(F.desc("a")).rangeBetween(Window.unboundedPreceding, -1))
+    count = lambda kind: F.count_if(F.col("kind") == kind).over(scope).cast("int")
+    out = parts.select("*", count("id").alias("n_ids"), count("endpoint").alias("n_endpoints"), before.alias("before"), after.alias("after"))
+    out = out.where("kind = 'strong' or (kind = 'weak' and (n_ids > 0 or n_endpoints > 0))")
+    gap = F.least(F.greatest(F.col("a") - F.col("before"), F.lit(0)), F.greatest(F.col("after") - F.col("b"), F.lit(0)))
+    # greatest() passes over nulls: where one side has no part, the other one counts.
+    gap = F.when(F.col("before").isNull() & F.col("after").isNull(), F.lit(None)).when(F.col("before").isNull(), F.greatest(F.col("after") - F.col("b"), F.lit(0))).when(F.col("after").isNull(), F.greatest(F.col("a") - F.col("before"), F.lit(0))).otherwise(gap)
     link = F.concat(F.when(F.col("n_ids") > 0, F.lit("id+")).otherwise(F.lit("")), F.lit("secret"), F.when(F.col("n_endpoints") > 0, F.lit("+endpoint")).otherwise(F.lit("")))
-    return out.select("doc_id", "scope", "secret_start", "secret_end", "strength", "n_ids", "n_endpoints", *[x for x in out.columns if x == "distance"], link.alias("link"), "secret_sha256")
+    return out.select("doc_id", "scope", F.col("a").alias("secret_start"), F.col("b").alias("secret_end"), F.col("kind").alias("strength"), "n_ids", "n_endpoints", gap.cast("int").alias("distance"), link.alias("link"), F.sha2("value", 256).alias("secret_sha256"))
