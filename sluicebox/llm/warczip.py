@@ -5,6 +5,7 @@ ZIP) and ``indexes/*.cdx`` or ``.cdx.gz``. A task reads a package's end record (
 form) and central directory, then the index members; index lines give the range of every
 record. The ranges are spread over the cluster, and each record is read by its range alone:
 nothing is extracted. Archive members without an index, or compressed ones, are read through.
+What can't be read is a row that says why.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ from sluicebox.llm.common import fresh_path, narrow, text_slices, written
 
 #: Pages of a written package.
 PACKAGE_PAGES = 2_000
-_RANGES = "uri string, member string, start bigint, length bigint, key string"
-_RECORDS = "uri string, member string, record_offset bigint, record_id string, record_type string, url string, date string, status int, mime string, payload binary"
-_OUT = pa.schema([("uri", pa.string()), ("member", pa.string()), ("record_offset", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("mime", pa.string()), ("payload", pa.binary())])
+#: Archive bytes that a reading task should have: at least the first number, and no more than the second where there are many.
+TASK_BYTES = (16 << 20, 256 << 20)
+_RANGES = "uri string, member string, start bigint, length bigint, key string, error string"
+_RECORDS = "uri string, member string, record_offset bigint, record_id string, record_type string, url string, date string, status int, mime string, payload binary, error string"
+_OUT = pa.schema([("uri", pa.string()), ("member", pa.string()), ("record_offset", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("mime", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
+#: What broken bytes raise.
+BROKEN = (ValueError, KeyError, IndexError, EOFError, struct.error, zlib.error, gzip.BadGzipFile, UnicodeDecodeError)
 
 
 def open_uri(uri: str):  # noqa: ANN201
@@ -123,33 +128,56 @@ def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uri in batch.column("uri").to_pylist():
             rows: list[tuple] = []
             with open_uri(uri) as f:
-                members = directory(f)
-                archives = {m.name.rsplit("/", 1)[-1]: m for m in members if m.name.startswith("archive/") and not m.name.endswith("/")}
-                seen: set[tuple[str, int]] = set()
-                indexed: set[str] = set()
-                for m in members:
-                    if m.name.startswith("indexes/") and m.name.endswith((".cdx", ".cdxj", ".cdx.gz")):
-                        data = _small(f, m)
-                        for name, offset, length in index_lines(gzip.decompress(data) if m.name.endswith(".gz") else data):
-                            a = archives.get(name.rsplit("/", 1)[-1])
-                            if a is None or a.method or (a.name, offset) in seen or offset < 0 or offset + length > a.size:
-                                continue
-                            seen.add((a.name, offset))
-                            indexed.add(a.name)
-                            rows.append((uri, a.name, locate(f, a) + offset, length, a.name))
-                            if len(rows) >= 10_000:
-                                yield _ranges(rows)
-                                rows = []
-                for a in archives.values():
-                    if a.name not in indexed:
-                        rows.append((uri, a.name, locate(f, a), -a.packed if a.method else a.packed, None))
+                for row in _package_ranges(f):
+                    rows.append((uri, *row))
+                    if len(rows) >= 10_000:
+                        yield _ranges(rows)
+                        rows = []
             if rows:
                 yield _ranges(rows)
 
 
+def _package_ranges(f) -> Iterator[tuple]:  # noqa: ANN001
+    """(member, start, length, key, error) of each range to read; a key for what an index names."""
+    try:
+        members = directory(f)
+    except BROKEN as e:
+        yield None, 0, 0, None, f"no directory: {e}"
+        return
+    archives: dict[str, Member] = {}
+    for m in members:
+        if m.name.startswith("archive/") and not m.name.endswith("/"):
+            try:
+                locate(f, m)
+                archives[m.name.rsplit("/", 1)[-1]] = m
+            except BROKEN as e:
+                yield m.name, m.header, 0, None, f"no member: {e}"
+    seen: set[tuple[str, int]] = set()
+    indexed: set[str] = set()
+    for m in members:
+        if not (m.name.startswith("indexes/") and m.name.endswith((".cdx", ".cdxj", ".cdx.gz"))):
+            continue
+        try:
+            data = _small(f, m)
+            data = gzip.decompress(data) if m.name.endswith(".gz") else data
+        except BROKEN as e:
+            yield m.name, m.header, 0, None, f"no index: {e}"
+            continue
+        for name, offset, length in index_lines(data):
+            a = archives.get(name.rsplit("/", 1)[-1])
+            if a is None or a.method or (a.name, offset) in seen or offset < 0 or length <= 0 or offset + length > a.size:
+                continue
+            seen.add((a.name, offset))
+            indexed.add(a.name)
+            yield a.name, a.start + offset, length, a.name, None
+    for a in archives.values():
+        if a.name not in indexed:
+            yield a.name, a.start, -a.packed if a.method else a.packed, None, None
+
+
 def _ranges(rows: list[tuple]) -> pa.RecordBatch:
-    u, m, s, n, k = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(m), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.string())], names=["uri", "member", "start", "length", "key"])
+    u, m, s, n, k, e = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(m, pa.string()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(k, pa.string()), pa.array(e, pa.string())], names=["uri", "member", "start", "length", "key", "error"])
 
 
 def _headers(block: bytes) -> tuple[str, dict[str, str]]:
@@ -162,27 +190,39 @@ def _headers(block: bytes) -> tuple[str, dict[str, str]]:
     return lines[0], out
 
 
-def parse_record(data: bytes) -> tuple | None:
-    """(id, type, url, date, status, mime, payload, bytes used) of the WARC record at the start of the data."""
+def record_size(head: bytes) -> int:
+    """The bytes of a record's block by its head; raises for a head that isn't one."""
+    if not head.startswith(b"WARC/"):
+        raise ValueError("no record")
+    size = int(_headers(head)[1].get("content-length") or 0)
+    if size < 0:
+        raise ValueError("a negative length")
+    return size
+
+
+def parse_record(data: bytes) -> tuple:
+    """(id, type, url, date, status, mime, payload) of a WARC record; raises for what isn't one."""
     head_end = data.find(b"\r\n\r\n")
-    if not data.startswith(b"WARC/") or head_end < 0:
-        return None
-    _, head = _headers(data[:head_end])
-    size = int(head.get("content-length") or 0)
+    if head_end < 0:
+        raise ValueError("no record")
+    size = record_size(data[:head_end])
+    head = _headers(data[:head_end])[1]
     block = data[head_end + 4 : head_end + 4 + size]
+    if len(block) < size:
+        raise ValueError("a record that is cut off")
     status, mime, payload = None, head.get("content-type"), block
     if head.get("warc-type") == "response" and block.startswith(b"HTTP/"):
-        cut = block.find(b"\r\n\r\n")
-        line, http = _headers(block[: cut if cut >= 0 else len(block)])
-        payload = block[cut + 4 :] if cut >= 0 else b""
+        at = block.find(b"\r\n\r\n")
+        line, http = _headers(block[: at if at >= 0 else len(block)])
+        payload = block[at + 4 :] if at >= 0 else b""
         parts = line.split(" ")
-        status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None
+        status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() and len(parts[1]) < 10 else None
         mime = http.get("content-type")
         if "chunked" in http.get("transfer-encoding", "").lower():
             payload = _dechunk(payload)
         if http.get("content-encoding", "").lower() in ("gzip", "x-gzip"):
             payload = gzip.decompress(payload)
-    return head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), status, (mime or "").split(";")[0].strip() or None, payload, head_end + 8 + size
+    return head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), status, (mime or "").split(";")[0].strip() or None, payload
 
 
 def _dechunk(data: bytes) -> bytes:
@@ -199,13 +239,30 @@ def _dechunk(data: bytes) -> bytes:
         at = line + 4 + size
 
 
-def _walk(data: io.BufferedIOBase, zipped: bool) -> Iterator[tuple[int, bytes]]:
-    """(offset, record bytes) of each record of a whole archive; a gzip member is a record."""
+def _walk(data: io.RawIOBase, zipped: bool) -> Iterator[tuple[int, bytes]]:
+    """(offset, record bytes) of each record of a whole archive; a gzip member is a record. Raises where it can't go on."""
     if not zipped:
-        whole, at = data.read(), 0
-        while at < len(whole) and (r := parse_record(whole[at:])):
-            yield at, whole[at : at + r[7]]
-            at += r[7]
+        held, at, more = bytearray(), 0, True
+
+        def fill(n: int) -> bool:
+            nonlocal more
+            while more and len(held) < n:
+                chunk = data.read(1 << 20)
+                more = bool(chunk)
+                held.extend(chunk)
+            return len(held) >= n
+
+        while fill(1):
+            size = 1 << 12
+            while (end := held.find(b"\r\n\r\n")) < 0 and fill(min(size := size * 2, 1 << 24)):
+                pass
+            if end < 0:
+                raise ValueError("no record")
+            whole = end + 4 + record_size(bytes(held[:end])) + 4
+            fill(whole)
+            yield at, bytes(held[:whole])
+            at += whole
+            del held[:whole]
         return
     engine, at, begin, parts = zlib.decompressobj(31), 0, 0, []
     while chunk := data.read(1 << 20):
@@ -216,6 +273,8 @@ def _walk(data: io.BufferedIOBase, zipped: bool) -> Iterator[tuple[int, bytes]]:
             if engine.eof:
                 yield begin, b"".join(parts)
                 engine, parts, begin = zlib.decompressobj(31), [], at
+    if parts:
+        raise EOFError("an archive that is cut off")
 
 
 class _Range(io.RawIOBase):
@@ -236,31 +295,48 @@ class _Range(io.RawIOBase):
                 return out
 
 
+def _found(f, member: str, start: int, length: int, key: str | None) -> Iterator[tuple]:  # noqa: ANN001
+    """(offset, id, type, url, date, status, mime, payload, error) of the records of a range."""
+    zipped, reached = member.endswith(".gz"), start
+    try:
+        if key is None:
+            found = ((start + o, r) for o, r in _walk(_Range(f, start, length), zipped))
+        else:
+            raw = _at(f, start, length)
+            engine = zlib.decompressobj(31)
+            found = [(start, engine.decompress(raw) if zipped else raw)]
+            if zipped and not engine.eof:
+                raise EOFError("a record that is cut off")
+        for reached, record in found:
+            try:
+                parsed = parse_record(record)
+            except BROKEN as e:
+                yield (reached, *[None] * 7, f"{type(e).__name__}: {e}")
+            else:
+                yield (reached, *parsed, None)
+    except BROKEN as e:
+        yield (reached, *[None] * 7, f"{type(e).__name__}: {e}")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_files: dict = {}
     rows: list[tuple] = []
     size = 0
     for batch in batches:
-        for uri, member, start, length, key in zip(*(batch.column(x).to_pylist() for x in ("uri", "member", "start", "length", "key"))):
+        for uri, member, start, length, key, error in zip(*(batch.column(x).to_pylist() for x in ("uri", "member", "start", "length", "key", "error"))):
+            if error is not None:
+                rows.append((uri, member, start, *[None] * 7, error))
+                continue
             if uri not in open_files:
                 for f in open_files.values():
                     f.close()
                 open_files = {uri: open_uri(uri)}
-            f = open_files[uri]
-            zipped = member.endswith(".gz")
-            if key is not None:
-                raw = _at(f, start, length)
-                found = [(start, zlib.decompressobj(31).decompress(raw) if zipped else raw)]
-            else:
-                found = ((start + o, r) for o, r in _walk(_Range(f, start, length), zipped))
-            for at, record in found:
-                r = parse_record(record)
-                if r:
-                    rows.append((uri, member, at, *r[:7]))
-                    size += len(r[6])
-                    if size > 2_000_000:
-                        yield _records(rows)
-                        rows, size = [], 0
+            for row in _found(open_files[uri], member, start, length, key):
+                rows.append((uri, member, *row))
+                size += len(row[-2] or b"")
+                if size > 2_000_000:
+                    yield _records(rows)
+                    rows, size = [], 0
     if rows:
         yield _records(rows)
     for f in open_files.values():
@@ -277,15 +353,21 @@ def read_packages(packages: DataFrame) -> DataFrame:
     ``payload`` is the HTTP body of a response (chunks joined, gzip undone), or the block of any
     other record; ``status`` is null where there is no HTTP head. An index line that is broken,
     names no stored archive member or points beyond it is passed over; a range named twice is
-    read once. A member that no index names is read through. A file that isn't a ZIP raises. Null
-    URIs are passed over, repeated ones read once; an empty table gives no rows; extra columns
-    are ignored.
+    read once. A member that no index names is read through. ``error`` is null, or says why a
+    package, a member, an index or a record can't be read; then the columns of the record are
+    null, and other records don't suffer (of a member that is read through, the rest behind the
+    last record is one such row, at that record's offset). A file that isn't there raises. Null URIs are passed over,
+    repeated ones read once; an empty table gives no rows; extra columns are ignored.
     """
     uris = narrow(packages, "uri").where("uri is not null").distinct()
-    # Spread by package and stretch of 16 MB: a task reads a file's ranges in order.
-    ranges = uris.mapInArrow(_plan, _RANGES)
-    spread = ranges.repartition("uri", F.floor(F.col("start") / (16 << 20))).sortWithinPartitions("uri", "start")
-    return spread.mapInArrow(_read, _RECORDS)
+    ranges = written(uris.mapInArrow(_plan, _RANGES), "ranges")
+    total = ranges.agg(F.coalesce(F.sum(F.abs("length")), F.lit(0))).first()[0]
+    # By the bytes to be read, which the small rows don't show: a file's ranges within a stretch meet in one task, in order.
+    least, most = TASK_BYTES
+    width = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(-(-total // least), width), total // most)
+    at = F.pmod(F.xxhash64("uri", F.floor(F.col("start") / least)), F.lit(tasks)).cast("int")
+    return ranges.repartitionById(tasks, at).sortWithinPartitions("uri", "start").mapInArrow(_read, _RECORDS)
 
 
 # --- a writer of packages, for tables of pages ---------------------------------------------
