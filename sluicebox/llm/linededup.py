@@ -78,7 +78,10 @@ def line_keep_bitmaps(docs: DataFrame) -> DataFrame:
     rows = narrow(docs, "doc_id", "text").where("text is not null").withColumn("digest", digest())
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     hashed = rows.mapInArrow(_hash_lines, "h1 bigint, h2 bigint, doc_id bigint, digest bigint, pos int")
-    exchanged = hashed.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", F.col("doc_id").asc_nulls_first(), "digest", "pos")
+    # Hashes are even over their range, so equal ranges are the splitters: nothing is sampled.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.least(F.floor((F.col("h1") / F.lit(2.0**64) + 0.5) * parts), F.lit(parts - 1)).cast("int")
+    exchanged = hashed.repartitionById(parts, at).sortWithinPartitions("h1", "h2", F.col("doc_id").asc_nulls_first(), "digest", "pos")
     first = exchanged.mapInArrow(_stream_first, "doc_id bigint, digest bigint, pos int, n_lines int")
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+", "") == "")
     whole = rows.select("doc_id", "digest", F.size(lines).alias("n_lines"), F.filter(F.transform(lines, lambda x, i: F.when(x, i)), lambda x: x.isNotNull()).alias("blank"))
