@@ -19,6 +19,7 @@ again: a hot shard of copies costs time in proportion to its size.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from sluicebox.llm.common import WORD, digest, narrow, text_slices, unused, writ
 
 RADIUS = 10
 PAIR_RADIUS = 17
-#: Texts of fewer words have no fingerprint: they group with equal texts only.
+#: A text of fewer words has no near copies but those with the same words in a row: another word is a quarter of it or more.
 MIN_WORDS = 5
 LEAF = 64
 #: Fingerprints of a shard that are compared all with all, near pairs for each of them up to which the pairs are the edges, and comparisons made at once.
@@ -274,12 +275,12 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_R
     """One row per document in a group of two or more: ``doc_id, digest, keeper_id, keeper_digest``.
 
     The keeper is the group's first document in the order of doc_id (null first) and digest; its
-    own row is in the result. Equal texts are in one group, also short ones; a text without
+    own row is in the result. Equal texts are in one group; texts of fewer than MIN_WORDS words
+    group with those of the same words in the same order (case and signs aside); a text without
     words groups with nothing, nor does a null text. Rows equal in doc_id and text are one
     document. Extra columns are ignored.
     """
     rows = narrow(docs, "doc_id", "text").where("text is not null").withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("digest", digest())
-    rows = rows.withColumn("same", F.sha2("text", 256))
     long = rows.mapInArrow(_with_same, "doc_id bigint, digest bigint, f1 bigint, f2 bigint, same string")
     marked = written(long.distinct(), "prints")
     full = marked.where("f1 is not null")
@@ -298,14 +299,14 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_R
 def _with_same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         f1, f2, same, at = [], [], [], []
-        for i, (text, sha) in enumerate(zip(batch.column("text").to_pylist(), batch.column("same").to_pylist())):
+        for i, text in enumerate(batch.column("text").to_pylist()):
             words = WORD.findall(text.lower())
             if not words:
                 continue
             a, b = fingerprint(words) if len(words) >= MIN_WORDS else (None, None)
             f1.append(a)
             f2.append(b)
-            same.append(sha if a is None else None)
+            same.append(hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest() if a is None else None)
             at.append(i)
         own = batch.take(pa.array(at, pa.int64()))
         yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("digest"), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(same, pa.string())], names=["doc_id", "digest", "f1", "f2", "same"])

@@ -321,7 +321,8 @@ def scores(docs: DataFrame, fitted: Fitted, name: str) -> DataFrame:
             got = [scorer.score(t) for t in texts]
             yield pd.DataFrame({"score": [x[0] for x in got], "hits": [x[1] for x in got], "restored": [x[2] for x in got], "toxic": [x[0] >= threshold for x in got]})
 
-    return docs.withColumn(name, score(F.col("text")))
+    # Else the filter and the columns beside it would each run it.
+    return docs.withColumn(name, score.asNondeterministic()(F.col("text")))
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
