@@ -35,7 +35,7 @@ def python_tokens(code: str | None) -> list[str]:
                 out.append(t.string if keyword.iskeyword(t.string) else "NAME")
             elif t.type not in SILENT:
                 out.append(_KIND.get(t.type, t.string))
-    except (tokenize.TokenError, IndentationError, SyntaxError):
+    except (tokenize.TokenError, SyntaxError, MemoryError):
         found = re.findall(r"[A-Z_a-z]+|\d+|[^A-Z_a-z\s\d]", text)
         out = [x if keyword.iskeyword(x) else "NAME" if re.fullmatch("[A-Z_a-z]+", x) else "NUMBER" if x.isdigit() else x for x in found]
     return out
@@ -55,7 +55,7 @@ def tree_print(code: str | None) -> str:
     text = code or ""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser's own stack is a MemoryError
         return _digest("syntax-error|" + text.replace("\r\n", "\n").replace("\r", "\n").strip())
     for node in ast.walk(tree):
         kind = type(node)
@@ -110,3 +110,13 @@ def names_called(node: ast.AST) -> Iterable[str]:
 
 def called(call: ast.Call) -> str:
     return getattr(call.func, "id", None) or getattr(call.func, "attr", None) or ""
+
+
+def round_binary(column, digits: int = 6):  # noqa: ANN001, ANN201
+    """Round half to even by the exact binary value, which SQL's round, by the shortest decimal form, doesn't do."""
+    return _typed(lambda a: pd.Series([None if pd.isna(x) else round(float(x), digits) for x in a], dtype="float64"), 1, "double")(column)
+
+
+def pair_fingerprint(before, after):  # noqa: ANN001, ANN201
+    """One hash of both texts' tree fingerprints."""
+    return _typed(lambda a, b: pd.Series([_digest(tree_print(x) + "\0" + tree_print(y)) for x, y in zip(a, b)], dtype=object), 2, "string")(before, after)

@@ -160,7 +160,7 @@ def code_facts(code: str | None) -> tuple:
     """The values of FACTS for one text; a text without a syntax tree has none of the properties."""
     try:
         tree = ast.parse(code or "")
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):  # the parser's own stack is a MemoryError
         return False, 0, 0, False, False, False, False, False, False, False, []
     nodes = list(ast.walk(tree))
     queries = _Queries(tree)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sluicebox.functions.pycode import round_binary
 from sluicebox.functions.text import strip
 
 #: Words and forms that metadata mustn't carry: credentials, addresses, local paths.
@@ -17,9 +18,11 @@ def truthy(c: Column, default: str) -> Column:
 
 
 def safe_value(c: Column) -> Column:
-    """The stripped value if it is made of letters, digits and _.:- only; else ``unknown``."""
+    """The stripped value if it is made of letters, digits and _.:- only; else ``unknown``, also for the number 0 and for false."""
     s = strip(c.cast("string"))
-    return F.when(s.rlike(r"\A[-.:\w]+\z") & s.rlike(r"\A[\x21-\x7e]+\z"), s).otherwise("unknown")
+    # The type is known when the plan is made, so this folds away for strings.
+    none = ~F.typeof(c).isin("string", "void") & s.isin("0", "0.0", "false")
+    return F.when(none, "unknown").when(s.rlike(r"\A[-.:\w]+\z") & s.rlike(r"\A[\x21-\x7e]+\z"), s).otherwise("unknown")
 
 
 def safe_text(c: Column, pattern: str = UNSAFE) -> Column:
@@ -35,18 +38,22 @@ def safe_integer(c: Column) -> Column:
 
 
 def safe_float(c: Column) -> Column:
-    """A finite number of at least 0, else null. Rounding belongs to the report sink, not here."""
+    """A finite number of at least 0, rounded to 6 digits by its binary value, else null."""
     x = c.cast("string").try_cast("double")
-    return F.when((x >= 0) & ~F.isnan(x) & (x < F.lit(float("inf"))), x)
+    return round_binary(F.when((x >= 0) & ~F.isnan(x) & (x < F.lit(float("inf"))), x))
+
+
+def safe_scalar(c: Column) -> Column:
+    """Numbers and truth values as they are (in text form); texts as :func:`safe_text` has them."""
+    return F.when(~F.typeof(c).isin("string", "void"), c.cast("string")).otherwise(safe_text(c.cast("string")))
 
 
 def relative_filename(c: Column, default: str = "app.py") -> Column:
-    """Slashes forward; of absolute paths, drive paths and paths with .. only the last part; blank gives the default."""
-    s = F.replace(strip(F.coalesce(c, F.lit(""))), F.lit("\\"), F.lit("/"))
-    base = F.element_at(F.split(s, "/", -1), -1)
-    risky = s.startswith("/") | s.rlike(r"\A[A-Za-z]:") | F.array_contains(F.split(s, "/", -1), "..")
-    out = F.when(risky, base).otherwise(s)
-    return F.when((out == "") | (out == ".."), F.lit(default)).otherwise(out)
+    """Slashes forward; of absolute paths, paths on a drive and paths with .. only the last part; blank gives the default."""
+    s = F.replace(strip(truthy(c, default)), F.lit("\\"), F.lit("/"))
+    risky = s.startswith("/") | s.rlike(r"\A[A-Za-z]:/") | F.array_contains(F.split(s, "/", -1), "..")
+    out = F.when(risky, F.element_at(F.split(s, "/", -1), -1)).otherwise(s)
+    return truthy(out, default)
 
 
 def fold_profile(c: Column, fallback: str) -> Column:
@@ -61,12 +68,13 @@ def fold_mode(c: Column) -> Column:
     return F.when(m == "path_disclosure", "directory_traversal").otherwise(m)
 
 
-def rule_id(c: Column, prefix: str) -> Column:
-    """Scanner rule ids come with the path of their file in front: from the prefix on, where it occurs."""
+def rule_id(c: Column, prefix: str, known: list[str] | None = None) -> Column:
+    """Scanner rule ids come with the path of their file in front: from the first ``.prefix.`` on, where it occurs; known ids as they are."""
     tail = F.regexp_extract(c, rf"(?s)\.({prefix}\..*)", 1)
-    return F.when(tail != "", tail).otherwise(c)
+    own = c.isin(known or [])
+    return F.when(own | (tail == ""), c).otherwise(tail)
 
 
 def finding_ids(c: Column) -> Column:
-    """Safe ids, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda x: safe_value(x)), lambda x: x != "unknown")))
+    """Ids that are safe texts, distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda x: safe_text(x)), lambda x: x.isNotNull())))

@@ -14,8 +14,12 @@ SHINGLE = 5
 #: White space as str.strip() knows it; SQL trim() takes blanks only.
 SPACE = r"[\s\x1c-\x1f]+"
 _PAIRS = ("**", "//", "<<", "<=", "==", "!=", ">=", ">>")
-#: Identifier, number, two-sign operator, or any other sign; (?U) for Unicode classes.
-TOKEN = "(?U)" + "|".join([r"[A-Z_a-z]\w*", r"\d+(?:\.\d+)?", *map(re.escape, _PAIRS), r"\S"])
+#: White space, and what may follow the first letter of a name, one by one: the engines' own classes differ at controls, accents and superscripts.
+_BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Identifier, number, two-sign operator, or any other sign.
+TOKEN = "|".join([r"[A-Z_a-z][\p{L}\p{N}_]*", r"\p{Nd}+(?:\.\p{Nd}+)?", *map(re.escape, _PAIRS), f"[^{_BLANK}]"])
+#: Where str.splitlines() splits.
+LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(c: Column) -> Column:
@@ -27,6 +31,11 @@ def newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
 
 
+def lines(c: Column) -> Column:
+    """Stripped lines without the blank ones."""
+    return F.filter(F.transform(F.split(c, LINE_END, -1), strip), lambda x: x != "")
+
+
 def normal_code(c: Column) -> Column:
     """Unified line ends, stripped, one LF at the end."""
     return F.concat(strip(newlines(c)), F.lit("\n"))
@@ -77,15 +86,25 @@ def literal_pattern(part: Column) -> Column:
 
 
 def part_spans(c: Column, parts: Column) -> Column:
-    """Non-overlapping occurrences, from the left, of each non-empty part, parts in order."""
+    """Non-overlapping occurrences, from the left, of each non-empty part, parts in order. Their starts are a running sum."""
+    none = F.array().cast(_SPANS)
 
     def of(part: Column) -> Column:
-        return let(F.split(c, literal_pattern(part), -1), lambda pieces: spans(part, pieces))
-
-    def spans(part: Column, pieces: Column) -> Column:
-        before = lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda s, p: s + F.length(p)) + (k - 1) * F.length(part)
-        found = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.struct(before(k).alias("a"), (before(k) + F.length(part)).alias("b")))
-        return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(_SPANS))
+        n = F.length(part)
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        # Occurrences by chunks of pieces: one array over all of them would be copied for each.
+        step = lambda acc, p: F.struct((acc["at"] + F.length(p) + n).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p)).alias("a"), (acc["at"] + F.length(p) + n).alias("b")))).alias("out"))
+        size = lambda chunk: F.aggregate(chunk, F.lit(0), lambda s, p: s + F.length(p) + n)
+
+        def chunked(pieces: Column) -> Column:
+            last = ((F.size(pieces) - 2) / _CHUNK).cast("int")
+            chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(pieces, i * _CHUNK + 1, F.least(F.lit(_CHUNK), F.size(pieces) - 1 - i * _CHUNK)))
+            bases = lambda cs: F.aggregate(cs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+            ends = lambda x, base: F.aggregate(x, F.struct(base.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+            return let(chunks, lambda cs: F.flatten(F.zip_with(cs, bases(cs), ends)))
+
+        found = lambda pieces: F.when(F.size(pieces) > 1, chunked(pieces)).otherwise(none)
+        return let(F.split(c, literal_pattern(part), -1), found)
 
     return F.flatten(F.transform(F.filter(parts, lambda p: (p != "") & F.contains(c, p)), of))
 
@@ -132,10 +151,14 @@ def shingles(t: Column, k: int = SHINGLE) -> Column:
     return let(t, lambda x: F.when(F.size(x) > 0, runs(x)).otherwise(F.array().cast("array<string>")))
 
 
+def pair_tokens(before: Column, after: Column) -> Column:
+    """The tokens of both texts of a pair, with a mark between them."""
+    return F.concat(before, F.array(F.lit("<FIXED>")), after)
+
+
 def changed_parts(diff: Column, sign: str) -> Column:
     """Distinct stripped lines of a unified diff that begin with the sign, in order; header-like prefixes are passed over."""
-    lines = F.split(newlines(diff), "\n", -1)
-    own = F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith("---") & ~x.startswith("+++") & ~x.startswith("@@"))
+    own = F.filter(F.split(diff, LINE_END, -1), lambda x: x.startswith(sign) & ~x.startswith("---") & ~x.startswith("+++") & ~x.startswith("@@"))
     return F.array_distinct(F.filter(F.transform(own, lambda x: strip(F.substring(x, 2, 1 << 30))), lambda x: x != ""))
 
 
@@ -146,7 +169,7 @@ def string_list(c: Column) -> Column:
 
 def lines_present(code: Column, wanted: Column) -> Column:
     """Whether every non-blank wanted line stands in the code, stripped."""
-    return F.size(F.array_except(string_list(wanted), F.transform(F.split(newlines(code), "\n", -1), strip))) == 0
+    return F.size(F.array_except(string_list(wanted), lines(code))) == 0
 
 
 def pair_hash(before: Column, after: Column) -> Column:
@@ -156,15 +179,15 @@ def pair_hash(before: Column, after: Column) -> Column:
 
 
 def marker_lines(code: Column, markers: list[str], ignore_case: bool = True) -> Column:
-    """Stripped lines that hold one of the markers."""
+    """Stripped lines that hold one of the markers, in order, as often as they occur."""
     fold = F.lower if ignore_case else (lambda x: x)
-    lines = F.transform(F.split(newlines(code), "\n", -1), strip)
     hit = lambda x: F.exists(F.array(*[F.lit(m.lower() if ignore_case else m) for m in markers]), lambda m: F.contains(fold(x), m))
-    return F.array_distinct(F.filter(lines, lambda x: (x != "") & hit(x)))
+    return F.filter(lines(code), hit)
 
 
 def json_object(c: Column) -> Column:
-    """The text between the first { and the last } once a code fence is off; null where there is none."""
-    bare = F.regexp_replace(strip(c), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
-    found = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.when(found != "", found)
+    """The JSON object of a reply: the whole text once a code fence is off, else from the first { to the last }; null where neither is JSON."""
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(strip(c), r"(?i)^```(?:json)?", "")), r"```$", ""))
+    inner = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
+    valid = lambda x: F.try_parse_json(x).isNotNull()
+    return F.when(valid(bare), bare).when(valid(inner), inner)

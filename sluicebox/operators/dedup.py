@@ -1,29 +1,22 @@
 """First-wins duplicate policy: exact pair, equal syntax, near-equal token shingles.
 
 A row is rejected by an earlier *accepted* row only, so the result isn't a plain
-dropDuplicates. Edges from later to earlier rows are computed first; then rounds accept rows
-without an undecided or accepted earlier neighbour, until all are decided.
+dropDuplicates. Rounds decide rows by the least accepted and undecided places of their keys.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluicebox.sources.shared import dropped, written
+
 THRESHOLD = 0.90
 CHECKS = ("exact_code_pair", "normalized_ast", "near_duplicate")
 
 
-def equal_edges(rows: DataFrame, key: str, check: str) -> DataFrame:
-    """``ord, earlier, check``: pairs of rows with equal non-null key; a hot key costs its square, as each pair can matter."""
-    a = rows.where(F.col(key).isNotNull()).select("ord", key)
-    b = a.select(F.col("ord").alias("earlier"), key)
-    return a.join(b, key).where("earlier < ord").select("ord", "earlier", F.lit(check).alias("check"))
-
-
 def jaccard_pairs(rows: DataFrame, bucket: str, items: str, threshold: float = THRESHOLD) -> DataFrame:
     """``ord, earlier, similarity`` of pairs within a bucket whose item sets are similar enough.
 
@@ -48,61 +41,64 @@ def jaccard_pairs(rows: DataFrame, bucket: str, items: str, threshold: float = T
     return similar.where(F.col("similarity") >= F.lit(threshold))
 
 
-def _shared(df: DataFrame, label: str) -> DataFrame:
-    """The same rows from a table in the folder that the cluster shares: each round's lineage ends there."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp()
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+def duplicate_policy(rows: DataFrame, exact: str, tree: str | None, bucket: str, items: str, threshold: float = THRESHOLD, pinned: str | None = None, name: str = "ord") -> DataFrame:
+    """``ord, accepted, check, matched, similarity``: the decision on each row, and for rejected rows the first check in
+    policy order that an accepted earlier row meets, and that row.
 
-def first_wins(rows: DataFrame, edges: DataFrame, pinned: Column | None = None) -> DataFrame:
-    """``ord, accepted`` by the edges ``ord, earlier``: the greedy choice in the order of ord. Pinned rows are accepted unseen.
+    Exact and syntax checks work across buckets (the earliest accepted row is the match), the near
+    check within one (the match is the row of the least ``name``, as text, among the similar ones).
+    Rows with ``pinned`` are accepted unseen and come before all others. ``ord`` must be unique and
+    not null. A null key meets nothing.
 
-    Only rows with edges take part in the rounds; the undecided shrink every round.
+    Rows of equal key never meet in pairs: per key the least accepted and the least undecided place
+    decide. Pairs are made only between different item sets, and of rows equal in all keys only the
+    first takes part in the rounds (what rejects it rejects the others, or it does itself). A round accepts rows that no accepted or undecided earlier row can reject, and rejects
+    those that an accepted one does; its state is a table in the shared folder.
     """
-    pin = rows.select("ord", (F.coalesce(pinned, F.lit(False)) if pinned is not None else F.lit(False)).alias("pinned"))
-    e = edges.select("ord", "earlier").distinct().join(pin.where("not pinned").select("ord"), "ord", "left_semi")
-    e = _shared(e, "edges")
-    touched = e.select("ord").distinct()
-    accepted = e.select(F.col("earlier").alias("ord")).distinct().join(touched, "ord", "left_anti").withColumn("accepted", F.lit(True))
-    decided = _shared(accepted, "decided")
+    free = F.coalesce(F.col(pinned), F.lit(False)) if pinned else F.lit(False)
+    tree_key = F.col(tree) if tree else F.lit(None).cast("string")
+    place = F.struct((~free).alias("free"), F.col("ord").alias("ord"))
+    base = rows.select(place.alias("at"), F.col(exact).alias("k1"), tree_key.alias("k2"), F.coalesce(F.nullif(F.col(bucket).cast("string"), F.lit("")), F.lit("unknown")).alias("b"), F.array_distinct(items).alias("s"), F.col(name).cast("string").alias("name"))
+    base = base.withColumn("k3", F.when(F.size("s") > 0, F.sha2(F.concat_ws("\x1f", "b", F.array_join(F.array_sort("s"), "\x1e")), 256)))
+    base = written(base, "policy")
+    sets = base.where("k3 is not null").groupBy("k3").agg(F.first("b").alias("b"), F.first("s").alias("s"))  # equal for equal keys
+    near = jaccard_pairs(sets.select(F.col("k3").alias("ord"), "b", "s"), "b", "s", threshold)
+    both = near.select(F.col("ord").alias("k3"), F.col("earlier").alias("other"), "similarity")
+    links = written(both.unionByName(both.select(F.col("other").alias("k3"), F.col("k3").alias("other"), "similarity")), "links")
+    slim = base.select("at", "k1", "k2", "b", "k3", "name")
+    lone = slim.where(F.col("k1").isNull() | ~F.col("at.free"))
+    live = slim.where(F.col("k1").isNotNull() & F.col("at.free")).groupBy("k1", "k2", "b", "k3").agg(F.min(F.struct("at", "name")).alias("m")).select("m.at", "k1", "k2", "b", "k3", "m.name")
+    state = written(live.unionByName(lone).withColumn("ok", F.when(~F.col("at.free"), F.lit(True))), "state")
     while True:
-        state = e.join(decided.select(F.col("ord").alias("earlier"), "accepted"), "earlier", "left").join(decided.select("ord"), "ord", "left_anti")
-        step = state.groupBy("ord").agg(F.max(F.coalesce("accepted", F.lit(False))).alias("hit"), F.count_if(F.col("accepted").isNull()).alias("open"))
-        new = step.where("hit or open = 0").select("ord", (~F.col("hit")).alias("accepted"))
-        grown = _shared(decided.unionByName(new), "decided")
-        if grown.count() == decided.count():
+        seen = state
+        for k in ("k1", "k2", "k3"):
+            per = state.where(f"{k} is not null and (ok or ok is null)").groupBy(k).agg(F.min(F.when(F.col("ok"), F.col("at"))).alias("a"), F.min(F.when(F.col("ok").isNull(), F.col("at"))).alias("u"))
+            if k == "k3":
+                reach = per.unionByName(links.join(per.withColumnRenamed("k3", "other"), "other").select("k3", "a", "u"))
+                per = reach.groupBy("k3").agg(F.min("a").alias("a"), F.min("u").alias("u"))
+            seen = seen.join(per.select(F.col(k).alias(k + "_"), F.col("a").alias("a" + k), F.col("u").alias("u" + k)), F.col(k) == F.col(k + "_"), "left").drop(k + "_")
+        earlier = lambda p: F.coalesce(F.col(p + "k1") < F.col("at"), F.lit(False)) | F.coalesce(F.col(p + "k2") < F.col("at"), F.lit(False)) | F.coalesce(F.col(p + "k3") < F.col("at"), F.lit(False))
+        ok = F.when(F.col("ok").isNotNull(), F.col("ok")).when(earlier("a"), F.lit(False)).when(~earlier("u"), F.lit(True))
+        new = written(seen.select("at", "k1", "k2", "b", "k3", "name", ok.alias("ok")), "state")
+        dropped(state)
+        state = new
+        if not state.where("ok is null").limit(1).count():
             break
-        decided = grown
-    return rows.select("ord").join(decided, "ord", "left").select("ord", F.coalesce("accepted", F.lit(True)).alias("accepted"))
-
-
-def duplicate_policy(rows: DataFrame, exact: str, tree: str | None, bucket: str, items: str, threshold: float = THRESHOLD, pinned: Column | None = None) -> DataFrame:
-    """``ord, accepted, check, matched, similarity``: the decision on each row, and for rejected rows the first check in
-    policy order that an accepted earlier row meets, and the least such row.
-
-    Exact and syntax checks work across buckets, the near check within one.
-    """
-    near = _shared(jaccard_pairs(rows, bucket, items, threshold), "near")
-    edges = equal_edges(rows, exact, CHECKS[0]).withColumn("similarity", F.lit(None).cast("double"))
-    if tree:
-        edges = edges.unionByName(equal_edges(rows, tree, CHECKS[1]).withColumn("similarity", F.lit(None).cast("double")))
-    edges = _shared(edges.unionByName(near.select("ord", "earlier", F.lit(CHECKS[2]).alias("check"), "similarity")), "edges")
-    decision = first_wins(rows, edges, pinned)
-    rank = F.array_position(F.array(*map(F.lit, CHECKS)), F.col("check"))
-    hits = edges.join(decision.where("accepted").select(F.col("ord").alias("earlier")), "earlier", "left_semi")
-    first = hits.groupBy("ord").agg(F.min(F.struct(rank.alias("r"), F.col("earlier").alias("matched"), "check", "similarity")).alias("m"))
-    rejected = F.when(~F.col("accepted"), F.col("m"))
-    return decision.join(first, "ord", "left").select("ord", "accepted", rejected["check"].alias("check"), rejected["matched"].alias("matched"), rejected["similarity"].alias("similarity"))
+    kept = state.where("ok").select("at", "k1", "k2", "k3", "name")
+    out = slim.join(kept.select("at", F.lit(True).alias("accepted")), "at", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    least = lambda k, label: kept.where(f"{k} is not null").groupBy(F.col(k).alias(k + "_")).agg(F.min("at").alias(label))
+    out = out.join(least("k1", "m1"), F.col("k1") == F.col("k1_"), "left").join(least("k2", "m2"), F.col("k2") == F.col("k2_"), "left")
+    open_ = out.where(~F.col("accepted") & ~F.coalesce(F.col("m1") < F.col("at"), F.lit(False)) & ~F.coalesce(F.col("m2") < F.col("at"), F.lit(False))).select("at", "k3")
+    # Of a set at most one row that wasn't pinned is accepted, so this is a row for each accepted similar set.
+    reach = links.unionByName(open_.select("k3", F.col("k3").alias("other"), F.lit(1.0).alias("similarity")).distinct())
+    pairs = open_.join(reach, "k3").join(kept.select(F.col("k3").alias("other"), F.col("at").alias("m_at"), "name"), "other").where("m_at < at")
+    m3 = pairs.groupBy("at").agg(F.min(F.struct("name", "m_at", "similarity")).alias("m3"))
+    out = out.join(m3, "at", "left")
+    hit = lambda m: ~F.col("accepted") & F.coalesce(F.col(m) < F.col("at"), F.lit(False))
+    first = F.when(hit("m1"), F.struct(F.lit(CHECKS[0]).alias("check"), F.col("m1.ord").alias("matched"), F.lit(None).cast("double").alias("similarity")))
+    first = first.when(hit("m2"), F.struct(F.lit(CHECKS[1]).alias("check"), F.col("m2.ord").alias("matched"), F.lit(None).cast("double").alias("similarity")))
+    first = first.when(~F.col("accepted"), F.struct(F.lit(CHECKS[2]).alias("check"), F.col("m3.m_at.ord").alias("matched"), F.col("m3.similarity").alias("similarity")))
+    return out.select(F.col("at.ord").alias("ord"), "accepted", first.alias("f")).select("ord", "accepted", "f.check", "f.matched", "f.similarity")
 
 
 def prefix_length(n: int, threshold: float = THRESHOLD) -> int:

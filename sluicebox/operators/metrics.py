@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicebox.operators.order import running_before
+
 LENGTH = 200
 
 
@@ -45,26 +47,42 @@ def conditions(rows: DataFrame) -> DataFrame:
 def vocabulary(rows: DataFrame, tokens: str, least: int) -> DataFrame:
     """``token, index, n`` of tokens that occur at least ``least`` times, most frequent first, ties in the order of tokens."""
     counts = rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    # One task ranks the frequent tokens: their number follows the language, not the corpus.
-    return counts.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).alias("index"), "n")
+    return running_before(counts, [-F.col("n"), F.col("token")], F.lit(1), "index").select("token", F.col("index").cast("int"), "n")
+
+
+#: Tokens of a vocabulary up to which it is broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(vocabulary: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The vocabulary, marked for a broadcast if it has at most ``limit`` rows: a hot token then moves no row; else the join's own skew handling has to do."""
+    return F.broadcast(vocabulary) if vocabulary.limit(limit + 1).count() <= limit else vocabulary
 
 
 def token_ids(rows: DataFrame, key: str, tokens: str, vocabulary: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``key, ids``: index + 1 of each of the first tokens, 0 for unknown ones and for padding."""
+    """``key, ids``: index + 1 of each of the first tokens, 0 for unknown ones and for padding. ``key`` must be unique."""
     each = rows.select(key, F.posexplode(F.slice(tokens, 1, length)).alias("pos", "token"))
-    found = each.join(vocabulary.select("token", "index"), "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col("index") + 1, F.lit(0)).alias("i")))).alias("o"))
+    found = each.join(small(vocabulary.select("token", "index")), "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col("index") + 1, F.lit(0)).alias("i")))).alias("o"))
     ids = F.coalesce(F.transform("o", lambda x: x["i"]), F.array().cast("array<int>"))
     return rows.select(key).join(found, key, "left").select(key, F.concat(ids, F.array_repeat(F.lit(0), length - F.size(ids))).alias("ids"))
 
 
-def mean_pool(rows: DataFrame, key: str, tokens: str, vocabulary: DataFrame, width: int) -> DataFrame:
-    """``key, dim, value``: the mean vector over known tokens, each as often as it occurs; zeros where none is known."""
-    each = rows.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("times"))
-    dims = each.join(vocabulary.select("token", F.posexplode("vector").alias("dim", "x")), "token")
-    # Decimal sums don't depend on the order of rows.
-    pooled = dims.groupBy(key, "dim").agg((F.sum(F.col("x").cast("double").cast("decimal(20,10)") * F.col("times").cast("decimal(10,0)")).cast("double") / F.sum("times")).alias("value"))
-    grid = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("dim"))
-    return grid.join(pooled, [key, "dim"], "left").select(key, "dim", F.coalesce("value", F.lit(0.0)).alias("value"))
+def pooled_vectors(each: DataFrame, key: str, vectors: DataFrame, width: int) -> DataFrame:
+    """``key, vector``: the mean vector over the key's known tokens, each as often as it occurs; keys without any have no row.
+
+    ``each`` is a row per token, ``key, token``; a key's tokens are never gathered. A key has one
+    partial row of sums per task, not one per dimension. Decimal sums don't depend on the order.
+    """
+    counts = each.groupBy(key, "token").agg(F.count("*").alias("_times")).join(small(vectors.select("token", "vector")), "token")
+    term = lambda i: F.sum(F.get("vector", F.lit(i)).cast("double").cast("decimal(20,10)") * F.col("_times").cast("decimal(18,0)"))
+    sums = counts.groupBy(key).agg(F.sum("_times").alias("_n"), *[term(i).alias(f"_{i}") for i in range(width)])
+    return sums.select(key, F.array(*[F.col(f"_{i}").cast("double") / F.col("_n") for i in range(width)]).alias("vector"))
+
+
+def mean_pool(each: DataFrame, key: str, vectors: DataFrame, width: int) -> DataFrame:
+    """:func:`pooled_vectors` of every key, zeros where no token is known, as ``key, dim, value``."""
+    pooled = each.select(key).distinct().join(pooled_vectors(each, key, vectors, width), key, "left")
+    return pooled.select(key, F.posexplode(F.coalesce("vector", F.array(*[F.lit(0.0)] * width))).alias("dim", "value"))
 
 
 def threshold(p: Column) -> Column:

@@ -61,9 +61,16 @@ def plan(records: DataFrame, per_mode: int, modes: list[str] | None = None, prof
 
 
 def next_sample_id(ids: Column, prefix: Column) -> Column:
-    """An aggregate: prefix and the highest six-digit suffix plus one; other ids don't count."""
-    n = F.max(F.when(ids.rlike(r"_\d+\z"), F.regexp_extract(ids, r"_(\d+)\z", 1).cast("bigint")))
-    return F.format_string("%s_%06d", F.max(prefix), F.coalesce(n, F.lit(0)) + 1)
+    """An aggregate: the prefix, and one more than the highest number that stands behind it alone; other ids don't count."""
+    rest = F.when(ids.startswith(prefix), F.substring(ids, F.length(prefix) + 1, F.length(ids)))
+    n = F.max(F.when(rest.rlike(r"\A[0-9]+\z"), rest.try_cast("decimal(38,0)")))
+    return F.concat(F.max(prefix), _six(F.coalesce(n, F.lit(0).cast("decimal(38,0)")) + 1))
+
+
+def _six(n: Column) -> Column:
+    """At least six digits."""
+    s = n.cast("decimal(38,0)").cast("string")
+    return F.when(F.length(s) < 6, F.lpad(s, 6, "0")).otherwise(s)
 
 
 def round_robin(mode: str, index: int, profile: str = "compact") -> tuple:

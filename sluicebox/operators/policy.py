@@ -12,9 +12,9 @@ MIN_TOKENS, MAX_TOKENS, MAX_SHARE, MIN_KEPT = 420, 900, 0.15, 0.75
 VERDICT_FLAGS = ("cwe_correct", "fix_correct", "context_correct", "runtime_plausible")
 
 
-def reasons(*pairs: tuple[Column, str]) -> Column:
+def reasons(*pairs: tuple[Column, str | Column]) -> Column:
     """The messages whose condition holds, in order; a null condition doesn't hold."""
-    return F.filter(F.array(*[F.when(c, F.lit(m)) for c, m in pairs]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(c, F.lit(m) if isinstance(m, str) else m) for c, m in pairs]), lambda x: x.isNotNull())
 
 
 def balance_reasons(tokens: Column, positive: Column, negative: Column, share: Column, kept: Column) -> Column:
@@ -44,41 +44,66 @@ def availability_message(label: str, before: Column, after: Column, error: Colum
     return F.when((before == "success") & (after == "success"), F.lit(None)).when(either("missing"), f"{label} is not available").when(either("timeout"), f"{label} timed out").otherwise(failed)
 
 
+def _named(message: str, ids: Column) -> Column:
+    return F.concat(F.lit(f"{message}: "), F.array_join(ids, ", "))
+
+
 def lint_verdict(expected: Column, before: Column, after: Column, ran: Column) -> Column:
-    """struct(warnings, reasons): expected ids not found before the fix are a warning, found after it a reason."""
+    """struct(warnings, reasons): expected ids not found before the fix are a warning, found after it a reason; both name them."""
     on = ran & (F.size(expected) > 0)
     left = F.array_sort(F.array_intersect(after, expected))
     return F.struct(
-        reasons((on & ~F.arrays_overlap(before, expected), "expected lint ids not reported before the fix")).alias("warnings"),
-        reasons((on & (F.size(left) > 0), "expected lint ids still reported after the fix")).alias("reasons"),
+        reasons((on & ~F.arrays_overlap(before, expected), _named("expected lint ids not reported before the fix", expected))).alias("warnings"),
+        reasons((on & (F.size(left) > 0), _named("expected lint ids still reported after the fix", left))).alias("reasons"),
     )
 
 
 def rule_verdict(mode: Column, expected: Column, known: Column, before: Column, after: Column, ran: Column, structural: Column) -> Column:
-    """struct(warnings, reasons): missing before, left after, and rules of other classes after the fix.
+    """struct(warnings, reasons): missing before, left after, and rules of other classes after the fix, each with the ids.
 
     An xss fix that passed the structural checks may keep its helper finding, alone: a warning.
     """
     on = ran & (F.size(expected) > 0)
-    left = F.array_intersect(after, expected)
+    left = F.array_sort(F.array_intersect(after, expected))
     helper = (mode == "xss") & (F.size(left) == 1) & F.exists(left, lambda x: x.endswith("xss-helper")) & structural
-    other = F.array_except(F.array_intersect(after, known), expected)
+    other = F.array_sort(F.array_except(F.array_intersect(after, known), expected))
     return F.struct(
         reasons((on & helper, "helper finding left after a verified fix")).alias("warnings"),
         reasons(
-            (on & ~F.arrays_overlap(before, expected), "expected rules not reported before the fix"),
-            (on & ~helper & (F.size(left) > 0), "expected rules still reported after the fix"),
-            (on & (F.size(other) > 0), "rules of other classes reported after the fix"),
+            (on & ~F.arrays_overlap(before, expected), _named("expected rules not reported before the fix", expected)),
+            (on & ~helper & (F.size(left) > 0), _named("expected rules still reported after the fix", left)),
+            (on & (F.size(other) > 0), _named("rules of other classes reported after the fix", other)),
         ).alias("reasons"),
     )
 
 
+VERDICTS = ["pass", "fail", "unsure"]
+REASON_CATEGORIES = ["none", "wrong_cwe", "incomplete_fix", "wrong_context", "runtime_issue", "other"]
+
+
 def review_consistent(review: Column) -> Column:
-    """A verdict of pass goes with all flags true and category none, a verdict of fail with neither."""
-    flags = [F.coalesce(review[f], F.lit(False)) for f in VERDICT_FLAGS]
-    whole = flags[0] & flags[1] & flags[2] & flags[3]
-    known = review["verdict"].isin("pass", "fail") & F.forall(F.array(*[review[f] for f in VERDICT_FLAGS]), lambda x: x.isNotNull())
-    return F.coalesce(known & ((review["verdict"] == "pass") == (whole & (review["reason_category"] == "none"))), F.lit(False))
+    """A known verdict and category and four truth values; pass goes with all true and none, any other verdict with a category that isn't none."""
+    flags = [review[f] for f in VERDICT_FLAGS]
+    known = review["verdict"].isin(VERDICTS) & review["reason_category"].isin(REASON_CATEGORIES) & F.forall(F.array(*flags), lambda x: x.isNotNull())
+    clean = review["reason_category"] == "none"
+    fits = F.when(review["verdict"] == "pass", F.forall(F.array(*flags), lambda x: x) & clean).otherwise(~clean)
+    return F.coalesce(known & fits, F.lit(False))
+
+
+def parse_review(reply: Column) -> Column:
+    """The review of a reply's JSON object; null unless it has exactly the six fields, truth values where they belong, and is consistent."""
+    v = F.try_parse_json(reply)
+    get = lambda f, t: F.try_variant_get(v, f"$.{f}", t)
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
+    typed = F.lit(True)
+    for f in VERDICT_FLAGS:
+        typed = typed & F.coalesce(kind(f) == "BOOLEAN", F.lit(False))
+    for f in ("verdict", "reason_category"):
+        typed = typed & F.coalesce(kind(f) == "STRING", F.lit(False))
+    keys = F.array_sort(F.json_object_keys(reply))
+    exact = F.coalesce(keys == F.array(*map(F.lit, sorted([*VERDICT_FLAGS, "verdict", "reason_category"]))), F.lit(False))
+    review = F.struct(get("verdict", "string").alias("verdict"), *[get(f, "boolean").alias(f) for f in VERDICT_FLAGS], get("reason_category", "string").alias("reason_category"))
+    return F.when(exact & typed & review_consistent(review), review)
 
 
 def review_passed(review: Column) -> Column:
@@ -108,7 +133,7 @@ def rejection_category(check: Column, required: Column, status: Column, verdict:
 def revalidation_category(reason: Column) -> Column:
     r = F.lower(reason)
     return (
-        F.when(F.contains(r, F.lit("other classes")) | F.contains(r, F.lit("still report")), "post_fix_rules")
+        F.when(F.contains(r, F.lit("other classes")) | F.contains(r, F.lit("rules still report")), "post_fix_rules")
         .when(F.contains(r, F.lit("path-safe containment")), "path_containment")
         .when(F.contains(r, F.lit("reviewer")), "review")
         .when(F.contains(r, F.lit("could not be reconstructed")), "record_schema")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,13 +54,6 @@ def difference(left: DataFrame, right: DataFrame, keys: list[str], body: Column,
     return j.withColumn(label, state).where(F.col(label).isNotNull()).select(*keys, label)
 
 
-def write_report(report: object, path: str) -> None:
-    """A small report as JSON with sorted keys, indented by 2."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps(report, indent=2, sort_keys=True) + "\n", encoding="utf-8")
-
-
 def nested(rows: list[tuple[str, str, int]]) -> dict[str, dict[str, int]]:
     """Long-form counts (field, value, n) as the nested dictionary of a report."""
     out: dict[str, dict[str, int]] = {}

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.functions import pycode, rules, safe, text
-from sluicebox.functions.registry import MODES, dimension, tuples
-from sluicebox.operators import dedup, export, metrics, planner, policy, reports, selection
+from sluicebox.functions import prompts, pycode, rules, safe, text
+from sluicebox.functions.registry import APPS, LEVELS, MODES, dimension, tuples
+from sluicebox.operators import candidates, coverage, dedup, export, metrics, models, planner, policy, release, reports, revalidation, selection, validation, verify
 from sluicebox.operators.parts import parts_within
-from sluicebox.sources.files import corpus_chunks
+from sluicebox.operators.parts import with_parts as parts_column
+from sluicebox.sources.files import BALANCE, RECORD, corpus_chunks, load_records
 
 FIELDS = ["lang", "quality", "toxic"]
 CAP, PER_MODE, AUDIT = 15, 20, 5
@@ -48,9 +49,7 @@ def with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = with_parts(spark, sf_dir).select("doc_id", "parts")
-    return docs.join(found, "doc_id", "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<string>")))
+    return parts_column(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,18 +67,48 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews made of labels: required for labelled documents, skipped for some, absent for the rest."""
+    """Reviews made of labels and texts: required for labelled documents, skipped for some, absent for the rest; some contradict themselves."""
     good = F.col("quality") == 1
-    flag = lambda c: c.cast("boolean")
+    n = F.col("n_chars")
+    kinds = F.array(*map(F.lit, [*policy.REASON_CATEGORIES, "weak fix"]))
     review = F.struct(
-        (F.col("toxic") == 0).alias("required"), F.when(F.col("n_chars") % 10 == 0, "error").otherwise("completed").alias("status"), F.when(good, "pass").otherwise("fail").alias("verdict"),
-        flag(good).alias("cwe_correct"), flag(good).alias("fix_correct"), flag(F.col("n_chars") > 200).alias("context_correct"), F.lit(True).alias("runtime_plausible"),
-        F.when(good, "none").otherwise("weak fix").alias("reason_category"), F.col("lang").alias("provider"),
+        (F.col("toxic") == 0).alias("required"), F.when(n % 10 == 0, "error").when(n % 10 == 1, "not_run").otherwise("completed").alias("status"), F.when(n % 9 == 0, "unsure").when(n % 23 == 0, "maybe").when(good, "pass").otherwise("fail").alias("verdict"),
+        good.alias("cwe_correct"), good.alias("fix_correct"), F.when(n % 31 > 0, n > 200).alias("context_correct"), F.lit(True).alias("runtime_plausible"),
+        F.when(good & (n % 7 > 0), "none").otherwise(F.get(kinds, (n % 7).cast("int"))).alias("reason_category"), F.col("lang").alias("provider"), F.lit(None).cast("string").alias("model"),
     )
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return rows.withColumn("review", F.when(F.col("quality").isNotNull(), review))
 
 
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a log of records (RECORD): texts are the code, labels make the reviews, numbers of characters the states."""
+    d, n = F.col("doc_id"), F.col("n_chars")
+    pick = lambda xs, c: F.get(F.array(*[F.lit(x) for x in xs]), c.cast("int"))
+    mode = F.when(d % 8 < 7, pick(MODES, d % 8))
+    context = F.struct(
+        F.when(d % 3 == 0, "sql").alias("cwe_key"), F.lit(None).cast("string").alias("cwe"), F.lit(None).cast("string").alias("cwe_name"), F.when(d % 16 == 7, F.col("lang")).alias("mode"), pick(APPS, d % 5).alias("application_type"), pick(["direct", "", "complex flow"], d % 3).alias("flow_pattern"),
+        pick(LEVELS, n % 3).alias("difficulty"), pick(["class_based", "single_function"], n % 2).alias("structure"), F.when(d % 10 > 0, d.cast("int")).alias("sample_index"), F.when(d % 7 == 0, "window_balanced").alias("generation_profile"),
+    )
+    found = lambda *ids: F.array(*[F.struct(F.lit("B602").alias("test_id"), F.lit(i).alias("check_id"), F.lit("a.py").alias("filename"), F.lit(None).cast("string").alias("path")) for i in ids])
+    run = lambda status, available, findings: F.struct(F.lit("t").alias("name"), available.alias("available"), status.alias("status"), F.lit(None).cast("array<string>").alias("command"), F.lit(0).alias("returncode"), findings.alias("findings"), F.lit(None).cast("string").alias("error"))
+    states = F.when(d % 6 < 4, pick(["success", "missing", "timeout", "odd"], d % 6))
+    left = F.when(d % 4 == 0, found("lib.rules.cwe-79.xss-helper")).when(d % 4 == 1, found("rules.cwe-89.sql-injection", "other.rule", "rules.cwe-89.sql-injection"))
+    validated = F.struct(
+        (n % 4 > 0).alias("passed"), F.split("text", "\n", -1).alias("reasons"), F.array_repeat(F.lit("w"), (n % 3).cast("int")).alias("warnings"),
+        F.when(n % 9 > 0, F.struct((n % 5 > 0).alias("passed"), F.array().cast("array<string>").alias("reasons"), F.array(F.lit("a"), F.lit("https://x.example")).alias("vulnerable_markers"), F.lit(None).cast("array<string>").alias("fixed_markers"))).alias("structural"),
+        F.when(d % 6 < 5, run(states, F.lit(True), found())).alias("bandit_before"), run(F.lit("success"), F.lit(True), found("x")).alias("bandit_after"),
+        F.lit(None).cast(validation.TOOL_RUN).alias("semgrep_before"), run(F.lit(None).cast("string"), d % 2 == 0, F.coalesce(left, found())).alias("semgrep_after"),
+        F.lit(None).cast(validation.OLD_RUNS).alias("tool_results"), F.lit(None).cast(BALANCE).alias("window_balance"),
+    )
+    rows = reviews(spark, sf_dir).select(
+        d.alias("ord"), F.when(d % 50 == 1, "dup").when(d % 50 != 2, F.concat(F.lit("r"), d.cast("string"))).alias("id"), F.lit("CWE-").alias("cwe"), mode.alias("mode"), F.when(d % 13 > 0, context).alias("context"),
+        F.when(d % 5 == 0, "window_balanced").alias("generation_profile"), F.col("source").alias("commit_message"), F.concat(F.lit("/srv/"), F.col("source"), F.lit(".py")).alias("filename"), F.col("text").alias("vulnerable_code"), F.upper("text").alias("fixed_code"),
+        F.lit("-a\n+b").alias("diff"), F.when(d % 2 == 0, F.array(F.lit("p"))).alias("badparts"), F.array(F.lit("q")).alias("goodparts"), F.col("lang").alias("provider"),
+        F.when(d % 11 > 0, validated).alias("validation"), "review", F.split("text", "\n", -1).alias("reject_reason"), F.when(F.col("toxic") == 1, F.struct(F.when(n % 2 == 0, "near_duplicate").otherwise("odd check").alias("check"), F.lit("r").alias("reason"))).alias("diversity_rejection"),
+    )
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], RECORD).schema])
+
+
 # --- tokens and windows -----------------------------------------------------------------------
 
 
@@ -140,21 +169,21 @@ def window_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def window_balance_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = (F.col("tokens") - F.col("part_tokens")) / F.col("tokens")
-    why = policy.balance_reasons(F.col("tokens"), F.col("positive"), F.col("negative"), F.col("share"), kept)
+    why = policy.balance_reasons(F.col("tokens"), F.col("positive"), F.col("negative"), pycode.round_binary(F.col("share")), pycode.round_binary(kept))
     return _balance(spark, sf_dir).select("doc_id", F.array_join(why, ";").alias("reasons"))
 
 
 def window_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four windows of each document and label by hash rank, chosen within the row: windows aren't exchanged."""
-    w = text.token_windows(F.col("text"), text.window_labels(F.col("text"), F.col("parts")))
-    key = lambda x: F.sha2(F.concat(F.lit(f"{selection.SEED}|"), F.col("doc_id").cast("string"), F.lit("|"), x["label"].cast("string"), F.lit("|"), F.array_join(x["tokens"], " ")), 256)
-    ranked = F.array_sort(F.transform(w, lambda x: F.struct(key(x).alias("rank"), x["start"].alias("start"), x["label"].alias("label"))))
-    best = text.let(ranked, lambda r: F.concat(*[F.slice(F.filter(r, lambda x: x["label"] == y), 1, 4) for y in (1, 0)]))
-    return all_parts(spark, sf_dir).select("doc_id", F.inline(best)).select("doc_id", "label", "start", "rank")
+    files = all_parts(spark, sf_dir).select(F.lit("real").alias("dataset"), F.col("lang").alias("mode"), F.col("doc_id").cast("string").alias("group_id"), F.col("source").alias("filename"), F.col("text").alias("source"), F.col("parts").alias("badparts"))
+    out = release.windows_of(files)
+    return out.select(F.col("group_id").cast("bigint").alias("doc_id"), "label", "start", "n_windows", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
 def corpus_chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_chunks(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"))
+    """In the order of an id that is sparse, and null for some."""
+    rows = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 11 > 0, F.col("doc_id") * 1_000_003).alias("place"), "doc_id", "text")
+    return corpus_chunks(rows, ["place", "doc_id"], F.col("text"))
 
 
 def changed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +235,10 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.duplicate_policy(_shingled(spark, sf_dir), "pair_hash", None, "lang", "items")
+    """With the distinct words for a second key across languages, and every seventh document accepted beforehand."""
+    prints = F.sha2(F.array_join(F.array_sort(F.array_distinct(text.tokens(F.lower("text")))), " "), 256)
+    keys = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), prints.alias("words"), (F.col("doc_id") % 7 == 0).alias("pinned"))
+    return dedup.duplicate_policy(_shingled(spark, sf_dir).join(keys, "ord"), "pair_hash", "words", "lang", "items", pinned="pinned")
 
 
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,26 +336,31 @@ def uncovered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_sample_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.concat(F.col("source"), F.when(F.col("doc_id") % 4 == 0, F.lit("-draft")).otherwise(F.format_string("_%06d", F.col("doc_id"))))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(planner.next_sample_id(ids, F.col("source")).alias("next_id"))
+    """Ids of other prefixes, with letters, or with more behind their number don't count."""
+    n, d = F.format_string("%06d", F.col("doc_id")), F.col("doc_id")
+    ids = F.concat(F.when(d % 4 == 3, F.lit("other_")).otherwise(F.concat("source", F.lit("_"))), n, F.when(d % 4 == 2, F.lit("-draft")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(planner.next_sample_id(ids, F.concat("source", F.lit("_"))).alias("next_id"))
 
 
 # --- policy -------------------------------------------------------------------------------------------
 
 
 def rejection_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the whole text are the reasons."""
     rows = reviews(spark, sf_dir)
-    why = F.slice(F.split("text", "\n", -1), 1, 1)
+    why = F.split("text", "\n", -1)
     check = F.when(F.col("toxic") == 1, "near_duplicate").otherwise("")
     r = F.col("review")
-    c = policy.rejection_category(check, r["required"], r["status"], r["verdict"], F.col("n_chars") % 3 > 0, F.transform(why, lambda x: F.concat(x, F.when(F.length(x) % 2 == 0, F.lit(" tool")).otherwise(F.lit(" badparts")))))
+    c = policy.rejection_category(check, r["required"], r["status"], r["verdict"], F.col("n_chars") % 3 > 0, F.concat(why, F.array(F.when(F.length("text") % 5 == 0, "tool").when(F.length("text") % 5 == 1, "badparts").otherwise(""))))
     return rows.groupBy(c.alias("category"), "lang").agg(F.count("*").alias("n"))
 
 
 def revalidation_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = ["rules of other classes reported after the fix", "after: no path-safe containment", "reviewer gave no pass", "Record could not be reconstructed", "too few tokens"]
-    message = F.get(F.array(*map(F.lit, messages)), (F.col("doc_id") % len(messages)).cast("int"))
-    return table(spark, sf_dir, "documents").groupBy(policy.revalidation_category(message).alias("category"), "lang").agg(F.count("*").alias("n"))
+    """Lines of the texts with messages in them."""
+    messages = ["rules of other classes reported after the fix: x", "expected rules still reported after the fix: x", "expected lint ids still reported after the fix: x", "after: no path-safe containment", "no passing verdict of a reviewer", "the record could not be reconstructed", "too few tokens"]
+    lines = table(spark, sf_dir, "documents").select("lang", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    message = F.concat("line", F.lit(" "), F.get(F.array(*map(F.lit, messages)), (F.length("line") % len(messages)).cast("int")))
+    return lines.groupBy(policy.revalidation_category(message).alias("category"), "lang").agg(F.count("*").alias("n"))
 
 
 def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,22 +427,24 @@ def slot_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def safe_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", safe.safe_value(F.split_part(F.col("url"), F.lit("/"), F.lit(-1))).alias("last_part"), safe.safe_value(F.concat(F.lit(" "), F.split_part(F.col("url"), F.lit("/"), F.lit(3)), F.lit("\t"))).alias("host"))
-    return rows
+    return rows.select("*", safe.safe_value(F.col("page_id") % 3).alias("number"), safe.safe_value((F.col("page_id") % 3).cast("string")).alias("numeral"), safe.safe_value(F.col("page_id") % 2 == 0).alias("truth"))
 
 
 def safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.get(F.split("text", "\n", -1), 0)
-    return table(spark, sf_dir, "documents").select("doc_id", safe.safe_text(first).alias("title"), safe.safe_text(F.concat(first, F.when(F.col("doc_id") % 3 == 0, F.lit(" C:/x")).otherwise(F.lit("")))).alias("checked"))
+    """The whole text, and each of its lines."""
+    whole = safe.safe_text(F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" C:/x")).otherwise(F.lit(""))))
+    each = F.transform(F.split("text", "\n", -1), safe.safe_text)
+    return table(spark, sf_dir, "documents").select("doc_id", sha(whole).alias("text_sha"), F.size(F.filter(each, lambda x: x.isNull())).alias("unsafe_lines"), sha(joined(F.filter(each, lambda x: x.isNotNull()))).alias("lines_sha"))
 
 
 def safe_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value") - 20
-    return table(spark, sf_dir, "events").select("event_id", safe.safe_integer(F.floor(v)).alias("whole"), safe.safe_float(v).alias("real"))
+    return table(spark, sf_dir, "events").select("event_id", safe.safe_integer(F.floor(v)).alias("whole"), safe.safe_float(v / 7).alias("real"))
 
 
 def relative_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_extract("url", r"//[^/]+(.*)$", 1)
-    odd = F.when(F.col("page_id") % 4 == 0, path).when(F.col("page_id") % 4 == 1, F.concat(F.lit("src"), path)).when(F.col("page_id") % 4 == 2, F.concat(F.lit("C:\\app\\"), F.replace(path, F.lit("/"), F.lit("\\")))).otherwise(F.concat(F.lit("a/.."), path))
+    odd = F.when(F.col("page_id") % 4 == 0, path).when(F.col("page_id") % 4 == 1, F.concat(F.lit("src"), path)).when(F.col("page_id") % 4 == 2, F.concat(F.lit("C:\\app\\"), F.replace(path, F.lit("/"), F.lit("\\")))).when(F.col("page_id") % 8 == 3, F.concat(F.lit("C:app"), path)).when(F.col("page_id") % 16 == 7, F.lit("a/..")).otherwise(F.concat(F.lit("a/.."), path))
     return table(spark, sf_dir, "pages").select("page_id", safe.relative_filename(odd).alias("filename"))
 
 
@@ -417,8 +456,11 @@ def fold_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array(F.concat(F.lit("x.synvul."), F.col("event_type")), F.col("event_type"), F.col("props"), F.concat(F.lit("b.rules."), F.col("event_type")))
-    return table(spark, sf_dir, "events").select(joined(safe.finding_ids(F.transform(ids, lambda x: safe.rule_id(x, "rules")))).alias("ids")).groupBy("ids").agg(F.count("*").alias("n"))
+    """With the rule set's name twice in one id, and an id that is known with it in front."""
+    t = F.col("event_type")
+    ids = F.array(F.concat(F.lit("x.other."), t), t, F.lit(" "), F.lit("/tmp/x"), F.concat(F.lit("b.rules."), t), F.concat(F.lit("c.rules.d.rules."), t), F.concat(F.lit("known.rules."), t))
+    known = ["known.rules.click"]
+    return table(spark, sf_dir, "events").select(joined(safe.finding_ids(F.transform(ids, lambda x: safe.rule_id(x, "rules", known)))).alias("ids")).groupBy("ids").agg(F.count("*").alias("n"))
 
 
 # --- reports, export, integrity ---------------------------------------------------------------------------------
@@ -511,10 +553,10 @@ def token_id_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' mean vector over the vectors that their events point at."""
+    """Users' mean vector over the vectors that their events' properties point at."""
     words = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("token"), F.col("embedding").alias("vector"))
-    events = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("who")).agg(F.collect_list((F.col("event_id") % 700).cast("string")).alias("tokens"))
-    return metrics.mean_pool(events, "who", "tokens", words, 64).select("who", "dim", F.round("value", 6).alias("value"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("who"), F.get_json_object("props", "$.k").alias("token"))
+    return metrics.mean_pool(events, "who", words, 64).select("who", "dim", F.round("value", 6).alias("value"))
 
 
 # --- code ------------------------------------------------------------------------------------------------------------------
@@ -551,13 +593,13 @@ def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ast_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct text is parsed once."""
-    forms = ["def {0}(x):\n    return x + {1}", "def {0}(y): return y - {1}", "class {0}:\n    n = {1}", "{0} = [z * {1} for z in q]", "{0} = ({1}"]
+    """The texts within code of several forms, and as they are; each distinct one is parsed once."""
+    forms = ["def {0}(x):\n    return x + {1}\n    r'''{2}'''", "def {0}(y): return y - {1}", "class {0}:\n    n = {1}", "{0} = [z * {1} for z in q]", "{0} = ({1}", "{2}"]
     form = F.get(F.array(*map(F.lit, forms)), (F.col("doc_id") % len(forms)).cast("int"))
-    code = F.replace(F.replace(form, F.lit("{0}"), F.col("source")), F.lit("{1}"), (F.col("n_chars") % 10).cast("string"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", code.alias("code"))
-    prints = docs.select("code").distinct().withColumn("tree", pycode.tree_fingerprint(F.col("code")))
-    return docs.join(prints, "code").groupBy("tree").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    code = F.replace(F.replace(F.replace(form, F.lit("{0}"), F.col("source")), F.lit("{1}"), (F.col("n_chars") % 10).cast("string")), F.lit("{2}"), F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), F.xxhash64(code).alias("h"))
+    prints = docs.groupBy("h").agg(F.first("code").alias("code")).select("h", pycode.tree_fingerprint(F.col("code")).alias("tree"))
+    return docs.select("doc_id", "h").join(prints, "h").groupBy("tree").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
 def python_token_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -566,14 +608,153 @@ def python_token_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structural_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each class's fixture pair, chosen by doc_id, against the class, application and structure that the record asks for."""
+    """The texts as a docstring within fixture pairs, against the class, application and structure that the record asks for."""
     pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (F.col("sample_index") % len(xs)).cast("int"))
-    rows = _placed(spark, sf_dir).withColumns({"before": pick([f"import sys\ndef f():\n    x = sys.argv[1]{s}" for s in SNIPPETS]), "after": pick([f"def f(x):\n    pass{s}" for s in SNIPPETS[::-1]])})
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("sample_index"), F.replace("text", F.lit("\\"), F.lit("/")).alias("text"))
+    rows = _placed(spark, sf_dir).join(texts, "sample_index")
+    code = lambda lead, snippets: F.concat(F.lit(f'{lead}\n    """'), F.col("text"), F.lit(' """'), pick(snippets))
+    rows = rows.withColumns({"before": code("import sys\ndef f():\n    x = sys.argv[1]", SNIPPETS), "after": code("def f(x):\n    pass", SNIPPETS[::-1])})
     seen = rows.withColumns({"seen": rules.facts(F.col("before")), "fixed": rules.facts(F.col("after"))})
     why = rules.structural_reasons(*map(F.col, ("mode", "application_type", "flow_pattern", "structure", "before", "after", "seen", "fixed")))
     return seen.select("mode", F.explode(why).alias("reason")).groupBy("mode", "reason").agg(F.count("*").alias("n"))
 
 
+# --- verification, candidates, releases, models ----------------------------------------------------------------------------
+
+
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.coverage_summary(log(spark, sf_dir))
+
+
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.validation_summary(log(spark, sf_dir))
+
+
+def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of documents in English count as accepted, those of others as rejected."""
+    rows = log(spark, sf_dir)
+    return verify.review_summary(rows.where("provider = 'en'"), rows.where("provider <> 'en'"))
+
+
+def rejection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.rejection_summary(log(spark, sf_dir))
+
+
+def record_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.record_issues(log(spark, sf_dir)).groupBy("stage", "code", "mode").agg(F.count("*").alias("n"), F.count("sample_id").alias("named"))
+
+
+def export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.export_counts(log(spark, sf_dir))
+
+
+def sidecar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = lambda p: F.get_json_object("json", f"$.{p}")
+    fields = ["id", "generation_profile", "context.application_type", "context.flow_pattern", "validation_summary.passed", "validation_summary.reason_count", "validation_summary.structural.vulnerable_markers[0]", "validation_summary.bandit.before.status", "validation_summary.semgrep.after.finding_ids[0]", "review_summary.verdict"]
+    return export.sidecar(log(spark, sf_dir)).select("mode", "row_index", "commit_id", *[j(f).alias(f.replace(".", "_").replace("[0]", "")) for f in fields])
+
+
+def integrity_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against an export of which some commits, some sidecar rows and two files were changed or lost."""
+    rows = log(spark, sf_dir)
+    plain = export.commit_lines(export.exported(rows)).where("not (mode = 'xss' and commit_id like '%8')")
+    plain = plain.withColumn("json", F.when((F.col("mode") == "sql") & F.col("commit_id").endswith("9"), F.lit("{}")).otherwise(F.col("json")))
+    side = export.sidecar(rows).withColumn("filename", F.when(F.col("commit_id").endswith("77"), F.lit("lost.py")).otherwise(F.col("filename")))
+    files = [f"plain_{m}" for m in MODES[1:]] + ["plain_odd"]
+    return verify.integrity_issues(rows, plain, side, files).groupBy("code", "mode").agg(F.count("*").alias("n"))
+
+
+def dataset_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every summary, and the issues by code, of documents as a log and its own export."""
+    rows = log(spark, sf_dir)
+    summary, issues = verify.verify(rows.where("ord % 3 > 0"), rows.where("ord % 3 = 0"), export.commit_lines(export.exported(rows.where("ord % 3 > 0"))), export.sidecar(rows.where("ord % 3 > 0")))
+    return summary.unionByName(issues.groupBy(F.lit("issues").alias("section"), F.col("code").alias("key")).agg(F.count("*").alias("value")))
+
+
+def diversity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = log(spark, sf_dir)
+    return verify.diversity_summary(rows, verify.duplicate_decisions(rows))
+
+
+def revalidation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = log(spark, sf_dir)
+    return revalidation.summary(revalidation.revalidate(rows))
+
+
+def coverage_plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a plan of 40 more records for a class than the largest one has; every third of the planned slots counts as accepted."""
+    rows = _placed(spark, sf_dir)
+    plan = coverage_plan(spark, sf_dir)
+    return coverage.plan_summary(rows, plan, plan.where("sample_index % 3 = 0"))
+
+
+def plan_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.marginals(planner.existing_counts(_placed(spark, sf_dir)))
+
+
+def candidate_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that hold the turns of a conversation as code before and after; some are fenced, some lack a field, some aren't JSON."""
+    rows = edits(spark, sf_dir)
+    body = F.struct(F.when(F.col("turn") % 5 > 0, F.concat(F.lit(" fix "), F.col("turn"))).alias("commit_message"), F.when(F.col("turn") % 2 == 0, "a/b").alias("filename"), F.replace("before", F.lit("\n"), F.lit("\r\n")).alias("vulnerable_code"), F.col("after").alias("fixed_code"), F.array(F.split_part("before", F.lit("\n"), F.lit(1))).alias("vulnerable_lines"))
+    reply = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("```json\n"), F.to_json(body), F.lit("\n```"))).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("Here: "), F.to_json(body))).when(F.col("conv_id") % 8 == 2, F.lit("no {json")).otherwise(F.to_json(body))
+    out = candidates.normalise(rows.select("conv_id", "turn", reply.alias("reply"), F.lit("sql").alias("mode")), "reply", "mode")
+    return out.select("conv_id", "turn", "candidate.error", "candidate.filename", "candidate.commit_message", sha(F.col("candidate.vulnerable_code")).alias("before_sha"), joined(F.slice("candidate.badparts", 1, 1)).alias("first_part"))
+
+
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that show weakness and fix, by class, in the texts with a snippet behind."""
+    c = F.concat(F.col("text"), F.get(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS)).cast("int")))
+    modes = F.explode(F.array(*map(F.lit, MODES))).alias("mode")
+    rows = table(spark, sf_dir, "documents").select(modes, c.alias("code"))
+    n = rows.select("mode", F.size(candidates.vulnerable_lines(F.col("mode"), F.col("code"))).alias("b"), F.size(candidates.fixed_lines(F.col("mode"), F.col("code"))).alias("a"))
+    return n.groupBy("mode").agg(F.sum("b").alias("before_lines"), F.sum("a").alias("after_lines"))
+
+
+def response_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns within responses of several shapes."""
+    t = F.col("text")
+    js = lambda *cols: F.to_json(F.struct(*cols))
+    shapes = [js(F.array(F.struct(F.struct(t.alias("content")).alias("message"))).alias("choices")), js(F.array(F.struct(t.alias("text"))).alias("choices")), js(t.alias("response")), js(F.array(F.struct(F.array(F.struct(t.alias("text")), F.struct(F.lit("end").alias("text"))).alias("content"))).alias("output")), js(t.alias("other"))]
+    body = F.get(F.array(*shapes), (F.col("turn") % 5).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sha(candidates.response_text(body)).alias("text_sha"))
+
+
+def parsed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews(spark, sf_dir).where("review is not null")
+    body = F.to_json(F.struct(*[F.col(f"review.{f}").alias(f) for f in ("verdict", *policy.VERDICT_FLAGS, "reason_category")], F.when(F.col("doc_id") % 6 == 0, 1).alias("extra")))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count(policy.parse_review(body)).alias("parsed"))
+
+
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prompts.prompt(*map(F.col, ("mode", "application_type", "flow_pattern", "structure", "difficulty", "sample_index")))
+    return _placed(spark, sf_dir).select("mode", p.alias("p")).groupBy("mode").agg(F.count("*").alias("n"), F.count_distinct("p").alias("distinct_prompts"))
+
+
+def release_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of commits over all conversations, their splits and windows."""
+    files = commits(spark, sf_dir).select(F.when(F.col("conv_id") % 2 == 0, "real").otherwise("synthetic").alias("dataset"), "mode", "group_id", F.concat(F.lit("f"), F.col("turn")).alias("filename"), F.col("text").alias("source"), F.array(F.split_part("text", F.lit(" "), F.lit(2))).alias("badparts"))
+    splits = selection.commit_split(files, ["dataset", "mode"], "group_id")
+    return release.release_summary(files, release.windows_of(files).join(splits.select("group_id", "split"), "group_id"))
+
+
+def missing_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = commits(spark, sf_dir).select(F.when(F.col("conv_id") % 5 == 0, "synthetic").otherwise("real").alias("dataset"), "mode", "group_id")
+    return release.empty_slices(selection.commit_split(files, ["dataset", "mode"], "group_id"))
+
+
+def loaded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load_records(log(spark, sf_dir).where("id is not null"))
+    return rows.groupBy("mode").agg(F.count("*").alias("n"), F.count_if(F.size("badparts") > 0).alias("with_parts"), F.count_if(F.col("context.flow_pattern") == "unknown").alias("unknown_flow"), F.min("group_id").alias("first_group"))
+
+
+def forest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest on the vectors: whether the label is even."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", models.array_to_vector("embedding").alias("features"), (F.col("label") % 2).cast("double").alias("label"))
+    test = F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0
+    guessed = models.forest(rows.where(~test), rows.where(test), trees=20, seed=1)
+    return metrics.metrics(metrics.confusion(guessed.withColumn("truth", F.col("label").cast("int")).withColumn("model", F.lit("forest")), ["model"]), ["model"])
+
+
 _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     lex_tokens, token_counts, window_starts, window_rows, window_labels, label_counts, badpart_spans, window_balance, window_balance_reasons, window_cap, corpus_chunk_rows,
     changed_parts, string_lists, marker_lines, json_objects, exact_hash_dups, shingles, jaccard_pairs, greedy_dedup, dup_policy_summary, stable_rank, commit_cap, commit_split,
@@ -581,7 +762,9 @@ _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     uncovered_values, next_sample_id, rejection_category, revalidation_category, review_summary, review_states, review_consistency, tool_status_matrix, tool_messages,
     validation_summary, rule_verdicts, slot_outcomes, safe_value, safe_text, safe_numbers, relative_filename, fold_names, finding_ids, row_index, last_wins, dup_ids,
     export_rows, nested_flatten, integrity_diff, link_check, confusion_matrix, metric_rows, mean_macro_f1, conditions_union, vocabulary, token_id_sequence, mean_pool,
-    rule_regex_flags, text_predicates, unified_diff, ast_fingerprint, python_token_shingles, structural_checks,
+    rule_regex_flags, text_predicates, unified_diff, ast_fingerprint, python_token_shingles, structural_checks, coverage_report, validation_report, review_report, rejection_report,
+    record_issues, export_counts, sidecar_rows, integrity_issues, dataset_verification, diversity_report, revalidation_report, coverage_plan_summary, plan_marginals, candidate_fields,
+    marked_lines, response_texts, parsed_reviews, prompt_texts, release_report, missing_slices, loaded_records, forest_metrics,
 )
 
 
