@@ -186,8 +186,9 @@ def marker_lines(code: Column, markers: list[str], ignore_case: bool = True) ->
 
 
 def json_object(c: Column) -> Column:
-    """The JSON object of a reply: the whole text once a code fence is off, else from the first { to the last }; null where neither is JSON."""
+    """The JSON object of a reply: the whole text once a code fence is off, else from the first { to the last }; null where neither is JSON. A second value behind the first is passed over."""
     bare = strip(F.regexp_replace(strip(F.regexp_replace(strip(c), r"(?i)^```(?:json)?", "")), r"```$", ""))
     inner = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
     valid = lambda x: F.try_parse_json(x).isNotNull()
-    return F.when(valid(bare), bare).when(valid(inner), inner)
+    whole = ~bare.startswith("{") | bare.endswith("}")
+    return F.when(whole & valid(bare), bare).when(valid(inner), inner)

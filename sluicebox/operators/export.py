@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluicebox.functions.pycode import unified_diff
@@ -158,6 +158,21 @@ def _name(x: Column) -> Column:
     return F.regexp_extract(F.element_at(F.split(x, "\x00", 2), 1), r"(?s)^\[(.*)\]$", 1)
 
 
+def layout_commits(spark: SparkSession, paths: list[tuple[str, str]]) -> DataFrame:
+    """``mode, repo, commit_id, filename, json`` of files or folders (mode, path) that :func:`write_export` wrote, to compare with :func:`commit_lines`.
+
+    A file is one document; a folder has a commit a line.
+    """
+    out = spark.createDataFrame([], "mode string, repo string, commit_id string, filename string, json string")
+    for mode, path in paths:  # a path per class
+        text = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+        rows = text.select(F.explode(F.from_json("text", LAYOUT)).alias("repo", "commits")).select("repo", F.explode("commits").alias("commit_id", "c"))
+        lines = spark.read.schema("repo string, commit_id string, filename string, json string").json(path).where("json is not null").select(F.lit(mode).alias("mode"), "repo", "commit_id", "filename", "json")
+        one = rows.select(F.lit(mode).alias("mode"), "repo", "commit_id", F.element_at(F.map_keys("c.files"), 1).alias("filename"), F.to_json("c").alias("json"))
+        out = out.unionByName(one).unionByName(lines)
+    return out
+
+
 def flatten(documents: DataFrame) -> DataFrame:
     """``mode, repo, commit_id, filename, msg, source, fixed_source, badparts, goodparts`` of documents ``mode, json``; malformed levels are passed over."""
     repos = documents.select("mode", F.explode(F.from_json("json", LAYOUT)).alias("repo", "commits"))

@@ -8,14 +8,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.functions.registry import CLASSES, FIELDS, FLOWS_OF, MODES, compatible, tuples
+from sluicebox.functions.safe import fold_profile
 from sluicebox.operators.selection import sha
 
 SEED = 1337
 
 
-def matching_mode(mode: Column, cwe: Column, key: Column) -> Column:
-    """The class of a record by its mode, CWE or key, whichever fits first in the order of classes."""
-    return F.coalesce(*[F.when((F.lower(mode) == k) | (F.lower(cwe) == c.lower()) | (F.lower(key) == k), F.lit(k)) for k, c, *_ in CLASSES])
+def matching_modes(mode: Column, cwe: Column, key: Column) -> Column:
+    """The classes that a record belongs to by its mode, its CWE or its key, in any case: most often one, several where they disagree."""
+    fits = lambda k, c: F.coalesce(F.lower(mode) == k, F.lit(False)) | F.coalesce(F.lower(cwe) == c.lower(), F.lit(False)) | F.coalesce(F.lower(key) == k, F.lit(False))
+    return F.filter(F.array(*[F.when(fits(k, c), F.lit(k)) for k, c, *_ in CLASSES]), lambda x: x.isNotNull())
+
+
+def records_of(log: DataFrame, profile: str = "compact") -> DataFrame:
+    """A log's records as the plan counts them: ``mode, fields, sample_index``, a row for each class that a record of the profile belongs to."""
+    c = F.col("context")
+    first = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b)
+    rows = log.where(fold_profile(first(F.col("generation_profile"), c["generation_profile"]), "compact") == profile)
+    return rows.select(F.explode(matching_modes(first(F.col("mode"), c["mode"]), first(F.col("cwe"), c["cwe"]), c["cwe_key"])).alias("mode"), *[c[f].alias(f) for f in FIELDS], c["sample_index"].alias("sample_index"))
+
+
+def wanted_modes(filters: list[str] | None) -> list[str]:
+    """The classes that filters name by key, mode or CWE; names of none are passed over. No filter names all, filters of which none fits name none."""
+    names = {x.lower().strip() for x in filters or []}
+    return [k for k, c, *_ in CLASSES if not filters or k in names or c.lower() in names]
 
 
 def existing_counts(records: DataFrame, profile: str = "compact") -> DataFrame:
@@ -38,9 +54,11 @@ def plan(records: DataFrame, per_mode: int, modes: list[str] | None = None, prof
     """``mode, sample_index, fields, plan_order``: the slots that raise each mode to ``per_mode`` records.
 
     ``records`` has mode, fields and sample_index. The counts are aggregated by the engine; the
-    choice itself runs over at most 90 contexts a mode on the driver. Names that are no mode are
-    passed over, unless none is left: then nothing is planned.
+    choice itself runs over at most 90 contexts a mode on the driver, a slot at a time. Names that
+    are no mode are passed over, unless none is left: then nothing is planned.
     """
+    if per_mode < 0:
+        raise ValueError("a negative target")
     spark: SparkSession = records.sparkSession
     wanted = [m for m in MODES if modes is None or m in modes]
     grid = {(r["mode"], *(r[f] for f in FIELDS)): r["n"] for r in existing_counts(records, profile).collect()}

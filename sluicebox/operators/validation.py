@@ -89,6 +89,6 @@ def validate(records: DataFrame, strict: bool = False, prefix: str = PREFIX) ->
     rows = rows.withColumns({"_lint": lint, "_scan": scan})
     reasons = F.concat(*absent, F.col("_why"), uneven, missing if strict else none, F.col("_lint.reasons"), F.col("_scan.reasons"))
     warnings = F.concat(none if strict else missing, F.col("_lint.warnings"), F.col("_scan.warnings"))
-    structural = F.struct((F.size("_why") == 0).alias("passed"), F.col("_why").alias("reasons"))
-    verdict = F.struct((F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"), warnings.alias("warnings"), structural.alias("structural"), *[r.alias(k) for k, r in runs.items()], b.alias("window_balance"))
+    structural = F.struct((F.size("_why") == 0).alias("passed"), F.col("_why").alias("reasons"), none.alias("vulnerable_markers"), none.alias("fixed_markers"))
+    verdict = F.struct((F.size(reasons) == 0).alias("passed"), reasons.alias("reasons"), warnings.alias("warnings"), structural.alias("structural"), *[r.alias(k) for k, r in runs.items()], F.lit(None).cast(OLD_RUNS).alias("tool_results"), b.alias("window_balance"))
     return rows.withColumn("validation", verdict).select(*records.columns)

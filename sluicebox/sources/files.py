@@ -15,6 +15,7 @@ from sluicebox.operators.export import flatten
 from sluicebox.operators.order import running_before
 from sluicebox.operators.selection import group_id
 from sluicebox.operators.tools import OLD_RUN, TOOL_RUN
+from sluicebox.sources.shared import written
 from sluicebox.sources.small import exists, write_text
 
 BALANCE = "STRUCT<window_size: INT, stride: INT, vulnerable_token_count: INT, fixed_token_count: INT, positive_window_count: INT, negative_window_count: INT, badpart_token_count: INT, badpart_token_ratio: DOUBLE, fixed_token_retention: DOUBLE>"
@@ -93,6 +94,11 @@ def write_metrics(metrics: DataFrame, folder: str) -> None:
     write_text(metrics.sparkSession, f"{folder}/comparison.md", "\n".join(lines) + "\n")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, for results that are read several times."""
+    return written(df, "stored")
+
+
 def write_features(features: DataFrame, path: str, keys: tuple[str, ...] = ("mode", "dataset", "split", "form")) -> DataFrame:
     """A feature table partitioned by its keys, so that a slice is read alone; the table as it is read back."""
     features.write.mode("overwrite").partitionBy(*keys).parquet(path)

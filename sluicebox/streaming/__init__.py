@@ -1 +1 @@
-
+"""Append-only logs as streams."""
