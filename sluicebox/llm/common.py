@@ -45,6 +45,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in as many partitions as there are cores, where the files have fewer splits (a small table in one row group); else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that :func:`written` made and that nothing reads any more."""
+    spark = df.sparkSession
+    root = shared_dir(spark).split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        if path.toUri().getPath().startswith(root):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices (without copying) of at most SLICE_CHARS bytes of text, so that a worker's memory doesn't follow the batch size."""
     for batch in batches:

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.llm import decontam, histsort, linededup, mpegts, packing, secretscan, simhash, tokencount, toxicity, warczip
+from sluicebox.llm import common, decontam, histsort, linededup, mpegts, packing, secretscan, simhash, tokencount, toxicity, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return common.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import WORD, digest, narrow, text_slices, unused, written
+from sluicebox.llm.common import WORD, digest, dropped, narrow, text_slices, unused, written
 
 RADIUS = 10
 PAIR_RADIUS = 17
@@ -264,7 +264,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = down.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
         star = small.select(F.explode(F.concat(F.array("u"), "vs")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = written(star, "star")
+        last, now = now, written(star, "star")
+        dropped(last)
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(seen) == state:
             return now
