@@ -1,4 +1,8 @@
-"""A corpus pipeline: toxicity, line and near-duplicate removal, decontamination, packing."""
+"""A corpus pipeline: toxicity, line and near-duplicate removal, decontamination, packing.
+
+Every stage takes null, empty and very long texts, repeated rows, ties, empty tables and extra
+columns as its operator's docstring says; all but the last return the columns they were given.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +12,27 @@ from sluicebox.llm import common, decontam, linededup, packing, simhash, toxicit
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labels, doesn't reject; null texts stay."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand earlier in the corpus; those of which nothing is left go, and of equal rows one stays."""
     return linededup.apply_line_bitmaps(docs, linededup.line_keep_bitmaps(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the first document; null texts and texts without words stay."""
     return simhash.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark; those that are half or more of it go."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows of the concatenated documents."""
     return packing.pack(docs)
 
 
@@ -41,7 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed windows of the corpus; each stage's documents are a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
