@@ -24,18 +24,20 @@ def jaccard_pairs(rows: DataFrame, bucket: str, items: str, threshold: float = T
     n - ceil(t n) + 1 items, so only these meet; sizes must be within the threshold of each other;
     the similarity itself is exact.
     """
-    sets = rows.select("ord", bucket, F.array_distinct(items).alias("s")).where(F.size("s") > 0)
-    each = sets.select("ord", bucket, F.size("s").alias("n"), F.explode("s").alias("item"))
-    rarity = each.groupBy(bucket, "item").agg(F.count("*").alias("df"))
-    ranked = each.join(rarity.where("df > 1"), [bucket, "item"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    ordered = ranked.groupBy("ord", bucket).agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("o"))
-    n = F.size("o")
-    keep = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
-    prefix = ordered.select("ord", bucket, n.alias("n"), F.explode(F.slice("o", 1, keep)).alias("p")).where("p.df > 1").select("ord", bucket, "n", F.col("p.item").alias("item"))
-    b = prefix.select(F.col("ord").alias("earlier"), bucket, "item", F.col("n").alias("m"))
-    pairs = prefix.join(b, [bucket, "item"]).where((F.col("earlier") < F.col("ord")) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - F.lit(1e-9)))
+    # Read three times, so the sets are made once.
+    sets = written(rows.select("ord", bucket, F.array_distinct(items).alias("s")).where(F.size("s") > 0), "sets")
+    # Candidates meet by 64-bit hashes of bucket and item: a collision can only add one, which the exact comparison drops.
+    each = sets.select("ord", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(F.col(bucket), x))).alias("item"))
+    rarity = each.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(rarity, "item", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ordered = ranked.groupBy("ord").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "item"))).alias("o"))
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    prefix = ordered.select("ord", "n", F.explode(F.slice("o", 1, keep)).alias("p")).where("p.df > 1").select("ord", "n", F.col("p.item").alias("item"))
+    b = prefix.select(F.col("ord").alias("earlier"), "item", F.col("n").alias("m"))
+    pairs = prefix.join(b, "item").where((F.col("earlier") < F.col("ord")) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(threshold) - F.lit(1e-9)))
     pairs = pairs.select("ord", "earlier").distinct()
-    full = pairs.join(sets.select("ord", "s"), "ord").join(sets.select(F.col("ord").alias("earlier"), F.col("s").alias("t")), "earlier")
+    sets = sets.select("ord", F.col(bucket).alias("b"), "s")
+    full = pairs.join(sets, "ord").join(sets.select(F.col("ord").alias("earlier"), F.col("b").alias("c"), F.col("s").alias("t")), "earlier").where(F.col("b").eqNullSafe(F.col("c")))
     shared = F.size(F.array_intersect("s", "t"))
     similar = full.select("ord", "earlier", (shared / (F.size("s") + F.size("t") - shared)).alias("similarity"))
     return similar.where(F.col("similarity") >= F.lit(threshold))
@@ -59,7 +61,7 @@ def duplicate_policy(rows: DataFrame, exact: str, tree: str | None, bucket: str,
     tree_key = F.col(tree) if tree else F.lit(None).cast("string")
     place = F.struct((~free).alias("free"), F.col("ord").alias("ord"))
     base = rows.select(place.alias("at"), F.col(exact).alias("k1"), tree_key.alias("k2"), F.coalesce(F.nullif(F.col(bucket).cast("string"), F.lit("")), F.lit("unknown")).alias("b"), F.array_distinct(items).alias("s"), F.col(name).cast("string").alias("name"))
-    base = base.withColumn("k3", F.when(F.size("s") > 0, F.sha2(F.concat_ws("\x1f", "b", F.array_join(F.array_sort("s"), "\x1e")), 256)))
+    base = base.withColumn("k3", F.when(F.size("s") > 0, F.unhex(F.md5(F.concat_ws("\x1f", "b", F.array_join(F.array_sort("s"), "\x1e"))))))
     base = written(base, "policy")
     sets = base.where("k3 is not null").groupBy("k3").agg(F.first("b").alias("b"), F.first("s").alias("s"))  # equal for equal keys
     near = jaccard_pairs(sets.select(F.col("k3").alias("ord"), "b", "s"), "b", "s", threshold)

@@ -73,8 +73,9 @@ def pooled_vectors(each: DataFrame, key: str, vectors: DataFrame, width: int) ->
     ``each`` is a row per token, ``key, token``; a key's tokens are never gathered. A key has one
     partial row of sums per task, not one per dimension. Decimal sums don't depend on the order.
     """
-    counts = each.groupBy(key, "token").agg(F.count("*").alias("_times")).join(small(vectors.select("token", "vector")), "token")
-    term = lambda i: F.sum(F.get("vector", F.lit(i)).cast("double").cast("decimal(20,10)") * F.col("_times").cast("decimal(18,0)"))
+    exact = vectors.select("token", F.transform("vector", lambda x: x.cast("double").cast("decimal(20,10)")).alias("vector"))
+    counts = each.groupBy(key, "token").agg(F.count("*").cast("decimal(18,0)").alias("_times")).join(small(exact), "token")
+    term = lambda i: F.sum(F.get("vector", F.lit(i)) * F.col("_times"))
     sums = counts.groupBy(key).agg(F.sum("_times").alias("_n"), *[term(i).alias(f"_{i}") for i in range(width)])
     return sums.select(key, F.array(*[F.col(f"_{i}").cast("double") / F.col("_n") for i in range(width)]).alias("vector"))
 

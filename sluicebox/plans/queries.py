@@ -17,6 +17,7 @@ from sluicebox.operators import candidates, coverage, dedup, export, metrics, mo
 from sluicebox.operators.parts import parts_within
 from sluicebox.operators.parts import with_parts as parts_column
 from sluicebox.sources.files import BALANCE, RECORD, corpus_chunks, load_records
+from sluicebox.sources.shared import spread
 
 FIELDS = ["lang", "quality", "toxic"]
 CAP, PER_MODE, AUDIT = 15, 20, 5
@@ -24,7 +25,7 @@ VOCABULARY_MIN = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def sha(c: Column) -> Column:
