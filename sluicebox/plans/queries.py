@@ -434,7 +434,7 @@ def safe_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 def safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text, and each of its lines."""
     whole = safe.safe_text(F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" C:/x")).otherwise(F.lit(""))))
-    each = F.transform(F.split("text", "\n", -1), safe.safe_text)
+    each = F.transform(F.split("text", "\n", -1), lambda x: safe.safe_text(x))
     return table(spark, sf_dir, "documents").select("doc_id", sha(whole).alias("text_sha"), F.size(F.filter(each, lambda x: x.isNull())).alias("unsafe_lines"), sha(joined(F.filter(each, lambda x: x.isNotNull()))).alias("lines_sha"))
 
 
