@@ -9,8 +9,10 @@ from sluicebox.functions import rules
 from sluicebox.functions.pycode import round_binary
 from sluicebox.functions.registry import CLASSES
 from sluicebox.functions.safe import fold_profile, rule_id
+from sluicebox.functions.scan import scan
 from sluicebox.functions.text import STRIDE, WINDOW, let, part_token_count, tokens, window_labels
 from sluicebox.operators.policy import availability_message, balance_reasons, lint_verdict, rule_verdict
+from sluicebox.operators.schemas import VALIDATION
 from sluicebox.operators.tools import OLD_RUN, TOOL_RUN as TOOL_RUN, tool_run
 
 PREFIX = "rules"
@@ -59,6 +61,18 @@ def with_balance(records: DataFrame, name: str = "window_balance") -> DataFrame:
     return rows.withColumn(name, F.when(b.isNotNull(), whole)).drop("_share", "_kept")
 
 
+def with_scans(records: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    """The records with the rule set's own findings as the scanner's runs before and after, where the record has none."""
+    found = lambda ids, file: F.transform(ids, lambda x: F.struct(F.lit(None).cast("string").alias("test_id"), x.alias("check_id"), F.lit(file).alias("filename"), F.lit(file).alias("path")))
+    none = F.lit(None).cast("string")
+    rows = records.withColumns({"_b": scan(F.coalesce("vulnerable_code", F.lit("")), prefix), "_a": scan(F.coalesce("fixed_code", F.lit("")), prefix)})
+    v = F.coalesce("validation", F.from_json(F.lit("{}"), VALIDATION))
+    for phase, ids, file in (("before", "_b", "before.py"), ("after", "_a", "after.py")):
+        own = F.struct(F.lit("rules").alias("name"), F.lit(True).alias("available"), F.lit("success").alias("status"), F.array().cast("array<string>").alias("command"), F.lit(0).alias("returncode"), found(F.col(ids), file).alias("findings"), none.alias("error"))
+        v = v.withField(f"semgrep_{phase}", F.coalesce(tool_run(F.col("validation"), "semgrep", phase), own.cast(TOOL_RUN)))
+    return rows.withColumn("validation", v).select(*records.columns)
+
+
 def validate(records: DataFrame, strict: bool = False, prefix: str = PREFIX) -> DataFrame:
     """The records with a new ``validation``: whether no reason speaks against them, the reasons in order, warnings, structure and balance.
 

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.functions import prompts, pycode, rules, safe, text
+from sluicebox.functions import prompts, pycode, rules, safe, scan, text
 from sluicebox.functions.registry import APPS, LEVELS, MODES, dimension, tuples
 from sluicebox.operators import candidates, coverage, dedup, export, metrics, models, planner, policy, release, reports, revalidation, selection, validation, verify
 from sluicebox.operators.parts import parts_within
 from sluicebox.operators.parts import with_parts as parts_column
-from sluicebox.sources.files import BALANCE, RECORD, corpus_chunks, load_records
+from sluicebox.operators.schemas import BALANCE
+from sluicebox.sources.files import RECORD, corpus_chunks, load_records
 from sluicebox.sources.shared import spread
 
 FIELDS = ["lang", "quality", "toxic"]
@@ -568,6 +569,13 @@ def rule_regex_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.explode(rules.pattern_findings(code)).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule over the texts as a docstring, with a snippet behind."""
+    snippet = F.get(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS)).cast("int"))
+    code = F.concat(F.lit('def f(x):\n    """'), F.replace("text", F.lit("\\"), F.lit("/")), F.lit(' """'), snippet)
+    return table(spark, sf_dir, "documents").select(F.explode(scan.scan(code)).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.concat(F.col("text"), F.get(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS)).cast("int")))
     tests = {"sql": rules.sql_injection, "shell": rules.shell_call, "listed": rules.listed_subprocess, "path": rules.path_traversal, "contained": rules.path_containment, "redirect": rules.open_redirect, "validated": rules.redirect_validation, "dynamic": rules.dynamic_code, "xss": rules.xss, "xss_fix": rules.xss_fix, "csrf": rules.csrf_issue, "csrf_fix": rules.csrf_fix, "csrf_order": rules.csrf_order}
@@ -763,7 +771,7 @@ _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     uncovered_values, next_sample_id, rejection_category, revalidation_category, review_summary, review_states, review_consistency, tool_status_matrix, tool_messages,
     validation_summary, rule_verdicts, slot_outcomes, safe_value, safe_text, safe_numbers, relative_filename, fold_names, finding_ids, row_index, last_wins, dup_ids,
     export_rows, nested_flatten, integrity_diff, link_check, confusion_matrix, metric_rows, mean_macro_f1, conditions_union, vocabulary, token_id_sequence, mean_pool,
-    rule_regex_flags, text_predicates, unified_diff, ast_fingerprint, python_token_shingles, structural_checks, coverage_report, validation_report, review_report, rejection_report,
+    rule_regex_flags, rule_findings, text_predicates, unified_diff, ast_fingerprint, python_token_shingles, structural_checks, coverage_report, validation_report, review_report, rejection_report,
     record_issues, export_counts, sidecar_rows, integrity_issues, dataset_verification, diversity_report, revalidation_report, coverage_plan_summary, plan_marginals, candidate_fields,
     marked_lines, response_texts, parsed_reviews, prompt_texts, release_report, missing_slices, loaded_records, forest_metrics,
 )

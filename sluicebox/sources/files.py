@@ -13,16 +13,11 @@ from sluicebox.functions.safe import fold_mode
 from sluicebox.functions.text import strip, tokens
 from sluicebox.operators.export import flatten
 from sluicebox.operators.order import running_before
+from sluicebox.operators.schemas import VALIDATION
 from sluicebox.operators.selection import group_id
-from sluicebox.operators.tools import OLD_RUN, TOOL_RUN
 from sluicebox.sources.shared import written
 from sluicebox.sources.small import exists, write_text
 
-BALANCE = "STRUCT<window_size: INT, stride: INT, vulnerable_token_count: INT, fixed_token_count: INT, positive_window_count: INT, negative_window_count: INT, badpart_token_count: INT, badpart_token_ratio: DOUBLE, fixed_token_retention: DOUBLE>"
-VALIDATION = f"""STRUCT<passed: BOOLEAN, reasons: ARRAY<STRING>, warnings: ARRAY<STRING>,
-structural: STRUCT<passed: BOOLEAN, reasons: ARRAY<STRING>, vulnerable_markers: ARRAY<STRING>, fixed_markers: ARRAY<STRING>>,
-bandit_before: {TOOL_RUN}, bandit_after: {TOOL_RUN}, semgrep_before: {TOOL_RUN}, semgrep_after: {TOOL_RUN},
-tool_results: STRUCT<bandit: {OLD_RUN}, semgrep: {OLD_RUN}>, window_balance: {BALANCE}>"""
 REVIEW = "STRUCT<required: BOOLEAN, status: STRING, verdict: STRING, cwe_correct: BOOLEAN, fix_correct: BOOLEAN, context_correct: BOOLEAN, runtime_plausible: BOOLEAN, reason_category: STRING, provider: STRING, model: STRING>"
 CONTEXT = "STRUCT<cwe_key: STRING, cwe: STRING, cwe_name: STRING, mode: STRING, application_type: STRING, flow_pattern: STRING, difficulty: STRING, structure: STRING, sample_index: INT, generation_profile: STRING>"
 RECORD = f"""ord BIGINT, id STRING, cwe STRING, cwe_name STRING, mode STRING, context {CONTEXT},
