@@ -97,6 +97,16 @@ def oracle_sql() -> dict[str, str]:
     n = decontam.NGRAM
     secret = _sql_text(f"{_PARTS['strong']}|{_PARTS['weak']}")
     words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+    hits = f"""
+            WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+            dw AS (SELECT doc_id, text, {words} AS ws FROM d),
+            bw AS (SELECT row_number() OVER () AS item, {words} AS ws FROM benchmark WHERE text IS NOT NULL),
+            grams AS (SELECT DISTINCT item, size, array_to_string(ws[j:j + size - 1], ' ') AS gram FROM
+              (SELECT item, ws, least(len(ws), {n}) AS size, unnest(range(1, len(ws) - least(len(ws), {n}) + 2)) AS j FROM bw WHERE len(ws) > 0)),
+            windows AS (SELECT doc_id, text, size, j, array_to_string(ws[j:j + size - 1], ' ') AS gram FROM
+              (SELECT doc_id, text, ws, size, unnest(range(1, len(ws) - size + 2)) AS j FROM dw, (SELECT DISTINCT size FROM grams) WHERE len(ws) >= size)),
+            hits AS (SELECT doc_id, text, w.size, j, item FROM windows w JOIN grams USING (size, gram)),
+            places AS (SELECT DISTINCT doc_id, text, unnest(range(j, j + size)) AS p FROM hits)"""
     return {
         "op1_credential_links": f"""
             WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE regexp_matches(text, {secret})),
@@ -122,16 +132,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, text, lang, source, n_chars, shard_key,
               CAST((SELECT count(*) FROM range(1, {histsort.SHARDS}) t(i) WHERE i * (SELECT sum(w) FROM keyed) <= before * {histsort.SHARDS}) AS INTEGER) AS shard
             FROM keyed JOIN below USING (shard_key)""",
-        "op4_contamination": f"""
-            WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-            dw AS (SELECT doc_id, text, {words} AS ws FROM d),
-            bw AS (SELECT row_number() OVER () AS item, {words} AS ws FROM benchmark WHERE text IS NOT NULL),
-            grams AS (SELECT DISTINCT item, size, array_to_string(ws[j:j + size - 1], ' ') AS gram FROM
-              (SELECT item, ws, least(len(ws), {n}) AS size, unnest(range(1, len(ws) - least(len(ws), {n}) + 2)) AS j FROM bw WHERE len(ws) > 0)),
-            windows AS (SELECT doc_id, text, size, j, array_to_string(ws[j:j + size - 1], ' ') AS gram FROM
-              (SELECT doc_id, text, ws, size, unnest(range(1, len(ws) - size + 2)) AS j FROM dw, (SELECT DISTINCT size FROM grams) WHERE len(ws) >= size)),
-            hits AS (SELECT doc_id, text, w.size, j, item FROM windows w JOIN grams USING (size, gram)),
-            places AS (SELECT DISTINCT doc_id, text, unnest(range(j, j + size)) AS p FROM hits),
+        "op4_contamination": f"""{hits},
             runs AS (SELECT doc_id, text, count(*) AS hit_words,
                 count(*) FILTER (WHERE before IS NULL OR before < p - 1) AS n_spans
               FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id, text ORDER BY p) AS before FROM places) GROUP BY ALL),
@@ -140,6 +141,13 @@ def oracle_sql() -> dict[str, str]:
               CAST(n_items AS INTEGER) AS n_items, CASE WHEN hit_words::DOUBLE / len(ws) >= {decontam.DROP_SHARE} THEN 'drop' ELSE 'cut' END AS action
             FROM runs r JOIN items i ON i.text = r.text AND i.doc_id IS NOT DISTINCT FROM r.doc_id
               JOIN dw ON dw.text = r.text AND dw.doc_id IS NOT DISTINCT FROM r.doc_id""",
+        # Each word with what stands before it; both go within a run of places, what stands before a run's first word stays.
+        "op4_decontaminate": hits + rf""",
+            marked AS (SELECT doc_id, text, list(p) AS ps FROM places GROUP BY doc_id, text),
+            pieces AS (SELECT d.*, ps, regexp_extract_all(d.text, '[\p{{L}}\p{{N}}_]+') AS w, string_split_regex(d.text, '[\p{{L}}\p{{N}}_]+') AS g FROM documents d LEFT JOIN marked m ON m.text = d.text AND m.doc_id IS NOT DISTINCT FROM d.doc_id),
+            cut AS (SELECT doc_id, lang, source, n_chars, ps, len(w) AS n, CASE WHEN ps IS NULL THEN text ELSE
+                array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_contains(ps, i) AND list_contains(ps, i - 1) THEN '' ELSE g[i] END || CASE WHEN list_contains(ps, i) THEN '' ELSE w[i] END), '') || g[len(w) + 1] END AS text FROM pieces)
+            SELECT doc_id, text, lang, source, CAST(length(text) AS BIGINT) AS n_chars FROM cut WHERE ps IS NULL OR len(ps)::DOUBLE / n < {decontam.DROP_SHARE}""",
         "op5_transport_streams": f"""
             WITH units AS (
               SELECT page_id, 257 AS pid, 27 AS stream_type, 224 AS stream_id, unnest(range(0, (length(html) + {mpegts.UNIT_CHARS - 1}) // {mpegts.UNIT_CHARS})) AS i, html AS body FROM pages WHERE html <> ''
