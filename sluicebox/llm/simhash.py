@@ -10,11 +10,12 @@ crowd around 30 bits), and broadcasting it would grow with the corpus. So the fi
 sharded by the pigeonhole principle: the 64 bits are cut into blocks, and two fingerprints within
 the radius are within a block's share of it in at least one block (see :func:`blocks`). Each
 fingerprint goes to every shard in which such a partner can meet it, so no pair within the radius
-is missed. A shard meets in one task by a shuffle; up to ``FLAT`` fingerprints it is one leaf, all
-compared with all, beyond it is searched with the shard's own BK-tree. All fingerprints are
-queries; a shard has no size limit. In a shard with more near pairs than ``DENSE`` per
-fingerprint, a group is grown from a pivot at a time, and what has joined a group isn't searched
-again: a hot shard of copies costs time in proportion to its size.
+is missed. A shard meets in one task by a shuffle and is one leaf, all compared with all in tiles.
+All fingerprints are queries; a shard has no size limit. A shard with more near pairs than
+``DENSE`` per fingerprint, or of more than ``FLAT`` fingerprints, is searched with its own
+BK-tree: a group is grown from a pivot at a time, and what has joined a group isn't searched
+again, so a hot shard of copies costs time in proportion to its size. Leaves are large, because
+a tree of small ones visits nearly all of them at this radius.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ RADIUS = 10
 PAIR_RADIUS = 17
 #: A text of fewer words has no near copies but those with the same words in a row: another word is a quarter of it or more.
 MIN_WORDS = 5
-LEAF = 64
+#: Fingerprints of a leaf of the tree: so many that the comparisons take the time, not the calls.
+LEAF = 1 << 16
 #: Fingerprints of a shard that are compared all with all, near pairs for each of them up to which the pairs are the edges, and comparisons made at once.
-FLAT, DENSE, AT_ONCE = 4096, 8, 1 << 17
+FLAT, DENSE, AT_ONCE = 1 << 20, 8, 1 << 17
 
 
 def blocks(radius: int) -> list[tuple[list[int], int]]:
@@ -159,7 +161,8 @@ def near_pairs(x1: np.ndarray, x2: np.ndarray, radius: int, pair_radius: int) ->
     k, size = x1.shape
     step, found, n = max(1, AT_ONCE // (k * size)), [], 0
     for r in range(0, size, step):
-        s, i, j = np.nonzero(np.bitwise_count(x1[:, r : r + step, None] ^ x1[:, None, r:]) <= radius)
+        near = np.bitwise_count(x1[:, r : r + step, None] ^ x1[:, None, r:]) <= radius
+        s, i, j = np.unravel_index(np.flatnonzero(near), near.shape)  # few are near; nonzero in three dimensions takes longer than the comparison
         ahead = i < j
         s, i, j = s[ahead], i[ahead] + r, j[ahead] + r
         near = np.bitwise_count(x2[s, i] ^ x2[s, j]) <= pair_radius

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from sluicebox.llm import simhash
 from sluicebox.llm.simhash import PAIR_RADIUS, RADIUS, blocks, near_edges, shard_groups, shard_keys
 
 PRINTS = "f1 bigint, f2 bigint"
@@ -85,3 +88,42 @@ def test_the_tree_of_a_large_shard_finds_all(spark):
     f1, f2 = (np.array(x, dtype=np.uint64) for x in zip(*nodes))
     label = shard_groups(f1, f2, RADIUS, PAIR_RADIUS)
     assert groups(range(len(nodes)), enumerate(label.tolist())) == groups(range(len(nodes)), [(i, j) for i in range(len(nodes)) for j in range(i) if int(f1[i] ^ f1[j]).bit_count() <= RADIUS])
+
+
+def one_shard(f1, f2):
+    """The edges of the search in a single shard, as index pairs."""
+    at = {x: i for i, x in enumerate(zip(f1.view(np.int64).tolist(), f2.view(np.int64).tolist()))}
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(f1), dtype=np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], names=["shard", "f1", "f2"])
+    found = [r for b in simhash._search(RADIUS, PAIR_RADIUS)([batch]) for r in b.to_pylist()]
+    return [(at[r["a1"], r["a2"]], at[r["b1"], r["b2"]]) for r in found]
+
+
+def all_pairs(f1, f2):
+    found = []
+    for i in range(len(f1)):
+        near = (np.bitwise_count(f1[i + 1 :] ^ f1[i]) <= RADIUS) & (np.bitwise_count(f2[i + 1 :] ^ f2[i]) <= PAIR_RADIUS)
+        found += [(i, i + 1 + int(j)) for j in np.flatnonzero(near)]
+    return found
+
+
+def test_a_large_shard_of_unlike_texts_takes_the_time_of_its_comparisons():
+    rng = np.random.default_rng(10)
+    f1, f2 = rng.integers(0, 2**63, (2, 16_000), dtype=np.uint64)
+    f1[8_000:8_100], f2[8_000:8_100] = f1[:100] ^ np.uint64(0b1011), f2[:100]
+    began = time.process_time()
+    want = all_pairs(f1, f2)
+    brute = time.process_time() - began
+    got = one_shard(f1, f2)
+    assert groups(range(len(f1)), got) == groups(range(len(f1)), want) and len(want) >= 100
+    assert time.process_time() - began - brute < 10 * brute
+
+
+def test_a_large_dense_shard_equals_all_pairs(monkeypatch):
+    rng = np.random.default_rng(11)
+    bit = lambda: np.uint64(1) << rng.integers(0, 64, 9_000, dtype=np.uint64)
+    centre = rng.integers(0, 2**63, 450, dtype=np.uint64)
+    f1, f2 = np.repeat(centre, 20) ^ bit() ^ bit(), np.repeat(centre[::-1], 20) ^ bit() ^ bit() ^ bit()
+    whole = groups(range(9_000), all_pairs(f1, f2))
+    assert groups(range(9_000), one_shard(f1, f2)) == whole
+    monkeypatch.setattr(simhash, "LEAF", 64)
+    assert groups(range(2_000), one_shard(f1[:2_000], f2[:2_000])) == groups(range(2_000), all_pairs(f1[:2_000], f2[:2_000]))
