@@ -40,6 +40,8 @@ MIN_WORDS = 5
 LEAF = 1 << 16
 #: Fingerprints of a shard that are compared all with all, near pairs for each of them up to which the pairs are the edges, and comparisons made at once.
 FLAT, DENSE, AT_ONCE = 1 << 20, 8, 1 << 17
+#: Edges that a task holds before it contracts them.
+EDGES = 1 << 19
 
 
 def blocks(radius: int) -> list[tuple[list[int], int]]:
@@ -173,6 +175,27 @@ def near_pairs(x1: np.ndarray, x2: np.ndarray, radius: int, pair_radius: int) ->
     return tuple(np.concatenate([f[c] for f in found]) for c in range(3))
 
 
+def forest(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges with the same components: each fingerprint ``b1, b2`` but the least of its component, with that one as ``a1, a2``."""
+    x1, x2 = np.concatenate([a1, b1]), np.concatenate([a2, b2])
+    order = np.lexsort((x2, x1))
+    x1, x2 = x1[order], x2[order]
+    first = np.r_[True, (x1[1:] != x1[:-1]) | (x2[1:] != x2[:-1])]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(first) - 1
+    x1, x2 = x1[first], x2[first]
+    head, u, v = np.arange(len(x1)), number[: len(a1)], number[len(a1) :]
+    while len(u):
+        u, v = head[u], head[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+        np.minimum.at(head, np.maximum(u, v), np.minimum(u, v))
+        while (head[head] != head).any():
+            head = head[head]
+    moved = np.flatnonzero(head != np.arange(len(head)))
+    return x1[head[moved]], x2[head[moved]], x1[moved], x2[moved]
+
+
 def _search(radius: int, pair_radius: int):  # noqa: ANN202
     schema = pa.schema([("a1", pa.int64()), ("a2", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64())])
 
@@ -191,7 +214,12 @@ def _search(radius: int, pair_radius: int):  # noqa: ANN202
         if held:
             yield tuple(np.concatenate([h[i] for h in held]) for i in range(3))
 
+    def out(edges: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(edges[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in edges], schema=schema)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[np.ndarray, ...]] = []
         for shard, f1, f2 in shards(batches):
             starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
             sizes = np.diff(np.r_[starts, len(shard)])
@@ -215,13 +243,19 @@ def _search(radius: int, pair_radius: int):  # noqa: ANN202
                         b.append(s + moved)
             if a and sum(map(len, a)):
                 x, y = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(f1[x]), pa.array(f2[x]), pa.array(f1[y]), pa.array(f2[y])], schema=schema)
+                edges.append((f1[x], f2[x], f1[y], f2[y]))
+                if sum(len(e[0]) for e in edges) > EDGES:
+                    edges = [forest(*map(np.concatenate, zip(*edges)))]
+                    if len(edges[0][0]) > EDGES // 2:
+                        yield from out(edges.pop())
+        if edges:
+            yield from out(forest(*map(np.concatenate, zip(*edges))))
 
     return search
 
 
 def near_edges(prints: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS) -> DataFrame:
-    """Edges between distinct fingerprints ``a1, a2, b1, b2`` whose components are the groups."""
+    """Edges between distinct fingerprints ``a1, a2, b1, b2`` whose components are the groups; those of a task are a forest."""
     signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("bigint")
     keys = [F.xxhash64(signed(mask), F.col("f1").bitwiseAND(signed(mask)).bitwiseXOR(signed(flip))) for mask, flip in shard_keys(radius)]
     exploded = prints.select("f1", "f2", F.explode(F.array(*keys)).alias("shard"))
@@ -229,36 +263,13 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_
     return shards.mapInArrow(_search(radius, pair_radius), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a partition as a forest: each node with the smallest node of its component."""
-    parent: dict = {}
-
-    def find(x):  # noqa: ANN001, ANN202
-        root = x
-        while parent.setdefault(root, root) != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
-            ru, rv = find(u), find(v)
-            if ru != rv:
-                parent[max(ru, rv)] = min(ru, rv)
-    nodes = [x for x in parent if find(x) != x]
-    for a in range(0, len(nodes), 50_000):
-        part = nodes[a : a + 50_000]
-        yield pa.RecordBatch.from_pydict({"u": pa.array(part, pa.string()), "v": pa.array([find(x) for x in part], pa.string())})
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``u, v``: each node of the edges ``u, v`` (strings) and the smallest node of its component.
 
-    Partitions contract their edges first; then rounds of large-star and small-star (Kiveris et
-    al. 2014) run until no edge changes, each round's edges in a table in the shared folder.
+    Rounds of large-star and small-star (Kiveris et al. 2014) run until no edge changes, each
+    round's edges in a table in the shared folder.
     """
-    now = written(edges.mapInArrow(_contract, "u string, v string").distinct(), "forest")
+    now = written(edges.distinct(), "forest")
     state = None
     while True:
         both = now.union(now.select("v", "u"))

@@ -127,3 +127,33 @@ def test_a_large_dense_shard_equals_all_pairs(monkeypatch):
     assert groups(range(9_000), one_shard(f1, f2)) == whole
     monkeypatch.setattr(simhash, "LEAF", 64)
     assert groups(range(2_000), one_shard(f1[:2_000], f2[:2_000])) == groups(range(2_000), all_pairs(f1[:2_000], f2[:2_000]))
+
+
+def test_a_task_contracts_its_edges(spark, monkeypatch):
+    rng = random.Random(12)
+    nodes = []
+    for _ in range(40):
+        f1, f2 = rng.getrandbits(64), rng.getrandbits(64)
+        nodes += [(signed(apart(rng, f1, 2)), signed(apart(rng, f2, 3))) for _ in range(7)]
+    nodes = sorted(set(nodes))
+    want = groups(nodes, brute(nodes))
+    for edges in (simhash.EDGES, 1):
+        monkeypatch.setattr(simhash, "EDGES", edges)
+        shards = spark.createDataFrame([(s, *x) for s in range(9) for x in nodes], "shard bigint, f1 bigint, f2 bigint").coalesce(1).sortWithinPartitions("shard", "f1", "f2")
+        got = [((r.a1, r.a2), (r.b1, r.b2)) for r in shards.mapInArrow(simhash._search(RADIUS, PAIR_RADIUS), "a1 bigint, a2 bigint, b1 bigint, b2 bigint").collect()]
+        assert groups(nodes, got) == want
+        assert edges == 1 or len(got) == len(nodes) - len(want)
+
+
+def test_forest_keeps_components():
+    rng = np.random.default_rng(13)
+    for n, m in ((2, 1), (50, 30), (300, 290), (300, 900)):
+        u, v = rng.integers(0, n, (2, m))
+        x = rng.integers(-(2**63), 2**63 - 1, (2, n))
+        a1, a2, b1, b2 = simhash.forest(x[0, u], x[1, u], x[0, v], x[1, v])
+        nodes = list(zip(*x.tolist()))
+        edges = list(zip(zip(a1.tolist(), a2.tolist()), zip(b1.tolist(), b2.tolist())))
+        want = groups(nodes, [(nodes[i], nodes[j]) for i, j in zip(u, v)])
+        assert groups(nodes, edges) == want and len(edges) == n - len(want)
+    chain = np.arange(1000)[::-1]
+    assert (simhash.forest(chain[1:], chain[1:], chain[:-1], chain[:-1])[0] == 0).all()
