@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sluicebox.operators.dedup import CHECKS, duplicate_policy, jaccard_pairs
+from sluicebox.operators.dedup import CHECKS, duplicate_policy, jaccard_pairs, signs_of
 from sluicebox.operators.verify import duplicate_decisions, duplicate_summary
 
 SCHEMA = "ord bigint, exact string, tree string, bucket string, items array<string>, pinned boolean, name string"
@@ -109,3 +112,42 @@ def test_seeded_rows_take_part_unseen(spark):
     rows = [(10, "old", "CWE-89", "sql", *simple("a", "b", 1), True), (11, "old2", "CWE-89", "sql", *simple("a", "b", 1), True), (1, "new", "CWE-89", "sql", *simple("a", "b", 1), False)]
     got = {r.ord: (r.accepted, r.matched) for r in duplicate_decisions(spark.createDataFrame(rows, RECORD + ", pinned boolean"), "pinned").collect()}
     assert got == {10: (True, None), 11: (True, None), 1: (False, 10)}
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.9])
+def test_similar_sets_share_a_sign_and_differ_in_few_bits(threshold):
+    rng = random.Random(3)
+    fresh = lambda k: [rng.getrandbits(64) - 2**63 for _ in range(k)]
+    for n in (1, 2, 9, 10, 19, 57, 256, 257, 900):
+        for _ in range(40):
+            own = fresh(n)
+            other = own[: rng.randint(int(n * threshold), n)] + fresh(rng.randint(0, n // 10))
+            if not other or jaccard(set(own), set(other)) < threshold:
+                continue
+            counts, keys, sketch, wide = signs_of(np.array([n, len(other)]), np.array(own + other), threshold)
+            assert set(keys[: counts[0]]) & set(keys[counts[0] :])
+            apart = len(set(own) ^ set(other))
+            assert max(n, len(other)) > 256 or bin(int(sketch[0] ^ sketch[1]) & (1 << 64) - 1).count("1") <= apart
+            assert min(n, len(other)) <= 256 or sum(bin(int(x) & (1 << 64) - 1).count("1") for x in wide[:32] ^ wide[32:]) <= apart
+
+
+def test_pairs_write_no_items_of_sets_without_a_candidate(spark):
+    """The tables and exchanges of the pairs follow the parts of the sets, not their items."""
+    items = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.sha2(F.concat_ws("-", "ord", i), 256))
+    rows = spark.range(300).select(F.col("id").alias("ord"), F.lit("x").alias("bucket"), F.when(F.col("id") == 7, F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.sha2(F.concat_ws("-", F.lit(8), i), 256))).otherwise(items).alias("items"))
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    assert [tuple(r) for r in jaccard_pairs(rows, "bucket", "items").collect()] == [(8, 7, 1.0)]
+    assert sum(p.stat().st_size for p in folder.rglob("*.parquet")) - before < 0.2 * 300 * 300 * 64
+
+
+def test_signs_that_go_on_over_batches(spark):
+    """All pairs of a cluster of different sets, in batches of a few rows."""
+    rows = [(i, "x", [f"i{j}" for j in range(40)] + [f"o{i}"]) for i in range(30)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.ord, r.earlier): r.similarity for r in jaccard_pairs(spark.createDataFrame(rows, "ord bigint, bucket string, items array<string>"), "bucket", "items").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {(i, j): 40 / 42 for i in range(30) for j in range(i)}
