@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.functions.pycode import unified_diff
 from sluicebox.functions.registry import MODES
 from sluicebox.functions.safe import UNSAFE, finding_ids, relative_filename, safe_float, safe_integer, safe_text
 from sluicebox.functions.text import changed_parts, strip
+from sluicebox.operators import reports
 from sluicebox.operators.tools import run_status, tool_run
 from sluicebox.sources.small import write_text
 
@@ -19,6 +20,10 @@ COMMIT = f"STRUCT<msg: STRING, files: MAP<STRING, STRUCT<source: STRING, sourceW
 LAYOUT = f"MAP<STRING, MAP<STRING, {COMMIT}>>"
 
 
+#: Overwritten records up to which their keys are broadcast.
+OVERWRITTEN = 100_000
+
+
 def flat_commits(records: DataFrame) -> DataFrame:
     """``mode, repo, commit_id, filename`` and the exported fields of each record, the last record of a commit id winning.
 
@@ -33,8 +38,17 @@ def flat_commits(records: DataFrame) -> DataFrame:
         F.concat(strip(F.col("fixed_code")), F.lit("\n")).alias("after"),
         F.col("diff"), F.col("badparts"), F.col("goodparts"),
     )
+    keys = ["mode", "repo", "commit_id"]
     flat = records.select("mode", repo.alias("repo"), name.alias("commit_id"), "ord", body.alias("b"))
-    return flat.groupBy("mode", "repo", "commit_id").agg(F.max_by("b", "ord").alias("b")).select("mode", "repo", "commit_id", "b.*")
+    # Which records are overwritten is known from their keys; the texts don't meet by commit.
+    several = flat.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("ord").alias("_last"), F.count("*").alias("_n")).where("_n > 1")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    met = flat.select(*keys, "ord").join(several, same)
+    if met.where("ord is null or ord = _last").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return flat.groupBy(*keys).agg(F.max_by("b", "ord").alias("b")).select(*keys, "b.*")
+    lost = met.where("ord < _last").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("ord").alias("_ord"))
+    lost = F.broadcast(lost) if lost.limit(OVERWRITTEN + 1).count() <= OVERWRITTEN else lost
+    return flat.join(lost, [*same, F.col("ord") == F.col("_ord")], "left_anti").select(*keys, "b.*")
 
 
 def prepared(records: DataFrame) -> DataFrame:
@@ -42,7 +56,7 @@ def prepared(records: DataFrame) -> DataFrame:
     unsafe (else made anew), and parts (where one side has none, both come from the diff)."""
     mode = F.coalesce(F.nullif(F.col("mode"), F.lit("")), F.nullif(F.col("context")["mode"], F.lit("")), F.lit("unknown"))
     rows = records.withColumn("mode", mode)
-    rows = rows.withColumn("row_index", F.row_number().over(Window.partitionBy("mode").orderBy("ord")))
+    rows = reports.row_index(rows, "mode", "ord")
     text = lambda c: F.coalesce(c, F.lit(""))
     fresh = unified_diff(F.when(_unsafe("diff"), text("vulnerable_code")), F.when(_unsafe("diff"), text("fixed_code")), relative_filename(F.col("filename")))
     rows = rows.withColumn("_fresh", fresh).withColumn("diff", F.when(_unsafe("diff"), F.col("_fresh")).otherwise(text("diff"))).drop("_fresh")

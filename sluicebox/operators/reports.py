@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicebox.functions.safe import truthy
+from sluicebox.operators.order import running_before
 
 
 def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,7 +38,20 @@ def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
 
 
 def row_index(rows: DataFrame, mode: str, order: str) -> DataFrame:
-    return rows.withColumn("row_index", F.row_number().over(Window.partitionBy(mode).orderBy(order)))
+    """The rows with ``row_index``, their place within the mode, from 1; rows equal in both keys are in no certain order.
+
+    Only the keys are put in order, over ranges of them; the rows meet their place by a join, so that no task
+    gets all rows of a mode.
+    """
+    keys = rows.groupBy(F.col(mode).alias("_m"), F.col(order).alias("_k")).agg(F.count("*").alias("_n"))
+    placed = running_before(keys, [F.col("_m"), F.col("_k")], F.col("_n"), "_at")
+    first = placed.groupBy(F.col("_m").alias("_of")).agg(F.min("_at").alias("_first"))
+    places = placed.join(first, F.col("_m").eqNullSafe(F.col("_of"))).select("_m", "_k", (F.col("_at") - F.col("_first") + 1).alias("_place"))
+    own = F.col("_place")
+    if placed.where("_n > 1").limit(1).count():
+        own = own + F.row_number().over(Window.partitionBy("_m", "_k").orderBy("_place")) - 1
+    joined = rows.join(places, F.col(mode).eqNullSafe(F.col("_m")) & F.col(order).eqNullSafe(F.col("_k")))
+    return joined.withColumn("row_index", own.cast("int")).drop("_m", "_k", "_place")
 
 
 def last_wins(rows: DataFrame, key: str, order: str, kept: list[str]) -> DataFrame:
