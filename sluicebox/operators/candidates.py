@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.functions.pycode import unified_diff
 from sluicebox.functions.registry import MODES
-from sluicebox.functions.text import changed_parts, json_object, lines, lines_present, marker_lines, normal_code, string_list, strip
+from sluicebox.functions.text import changed_parts, json_object, let, lines, lines_present, normal_code, string_list, strip
 
 CANDIDATE = "commit_message STRING, filename STRING, vulnerable_code STRING, fixed_code STRING, diff STRING, badparts ARRAY<STRING>, goodparts ARRAY<STRING>, error STRING"
 REQUIRED = ("commit_message", "vulnerable_code", "fixed_code")
@@ -41,26 +45,45 @@ def response_text(body: Column) -> Column:
     return F.coalesce(F.when(choices, choice), fields, joined)
 
 
+def _marked(own: Column, low: Column, marks: list[str]) -> Column:
+    """The lines that hold one of the marks in any case; ``low`` has the lines in lower case."""
+    hit = lambda x: functools.reduce(operator.or_, [F.contains(x, F.lit(m.lower())) for m in marks])
+    return F.filter(own, lambda x, i: hit(F.get(low, i)))
+
+
+def vulnerable_of(mode: Column, own: Column, low: Column) -> Column:
+    """:func:`vulnerable_lines` of the code's lines, which are also given in lower case."""
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
+    for m, marks in BEFORE.items():
+        out = out.when(mode == m, _marked(own, low, marks))
+    redirect = F.filter(own, lambda x: F.contains(x, F.lit("redirect(")) & ~x.startswith("from ") & ~x.startswith("import "))
+    posts = F.filter(own, lambda x, i: F.contains(F.get(low, i), F.lit("methods=")) & F.contains(F.get(low, i), F.lit("post")))
+    either = let(_marked(own, low, ["csrf.exempt", "wtf_csrf_enabled"]), lambda off: F.when(F.size(off) > 0, off).otherwise(posts))
+    return out.when(mode == "open_redirect", redirect).when(mode == "xsrf", either).otherwise(F.array().cast("array<string>"))
+
+
+def fixed_of(mode: Column, own: Column, low: Column) -> Column:
+    """:func:`fixed_lines` of the code's lines, which are also given in lower case."""
+    out = F.when(F.lit(False), F.array().cast("array<string>"))
+    for m, marks in AFTER.items():
+        out = out.when(mode == m, _marked(own, low, marks))
+    has = lambda x, *marks: functools.reduce(operator.or_, [F.contains(x, F.lit(m)) for m in marks])
+    bound = F.filter(own, lambda x: F.contains(x, F.lit("execute(")) & has(x, "?", "%s", ", ("))
+    listed = F.filter(own, lambda x: has(x, "subprocess.run([", "shell=False"))
+    return out.when(mode == "sql", bound).when(mode == "command_injection", listed).otherwise(F.array().cast("array<string>"))
+
+
+def _of_code(of: Callable[[Column, Column, Column], Column], mode: Column, code: Column) -> Column:
+    return let(lines(code), lambda own: let(F.transform(own, F.lower), lambda low: of(mode, own, low)))
+
+
 def vulnerable_lines(mode: Column, code: Column) -> Column:
     """The lines that show the weakness, by class and marks; none for unknown classes."""
-    own = F.when(F.lit(False), F.array().cast("array<string>"))
-    for m, marks in BEFORE.items():
-        own = own.when(mode == m, marker_lines(code, marks))
-    redirect = F.filter(lines(code), lambda x: F.contains(x, F.lit("redirect(")) & ~x.startswith("from ") & ~x.startswith("import "))
-    off = marker_lines(code, ["csrf.exempt", "wtf_csrf_enabled"])
-    posts = F.filter(lines(code), lambda x: F.contains(F.lower(x), F.lit("methods=")) & F.contains(F.lower(x), F.lit("post")))
-    own = own.when(mode == "open_redirect", redirect).when(mode == "xsrf", F.when(F.size(off) > 0, off).otherwise(posts))
-    return own.otherwise(F.array().cast("array<string>"))
+    return _of_code(vulnerable_of, mode, code)
 
 
 def fixed_lines(mode: Column, code: Column) -> Column:
-    own = F.when(F.lit(False), F.array().cast("array<string>"))
-    for m, marks in AFTER.items():
-        own = own.when(mode == m, marker_lines(code, marks))
-    has = lambda x, *marks: F.exists(F.array(*map(F.lit, marks)), lambda k: F.contains(x, k))
-    bound = F.filter(lines(code), lambda x: F.contains(x, F.lit("execute(")) & has(x, "?", "%s", ", ("))
-    listed = F.filter(lines(code), lambda x: has(x, "subprocess.run([", "shell=False"))
-    return own.when(mode == "sql", bound).when(mode == "command_injection", listed).otherwise(F.array().cast("array<string>"))
+    return _of_code(fixed_of, mode, code)
 
 
 def normalise(rows: DataFrame, reply: str, mode: str, name: str = "candidate") -> DataFrame:
