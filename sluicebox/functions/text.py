@@ -22,8 +22,12 @@ TOKEN = "|".join([r"[A-Z_a-z][\p{L}\p{N}_]*", r"\p{Nd}+(?:\.\p{Nd}+)?", *map(re.
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 
 
+#: The same, character by character: looked at from both ends only, where a pattern would be tried at every place of the text.
+_EDGES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{SPACE}|{SPACE}$", "")
+    return F.btrim(c, F.lit(_EDGES))
 
 
 def newlines(c: Column) -> Column:
@@ -112,18 +116,19 @@ def part_spans(c: Column, parts: Column) -> Column:
 def window_starts(n: Column, window: int = WINDOW, stride: int = STRIDE) -> Column:
     """Starts at every stride, and one aligned to the end; none for no tokens."""
     last = F.greatest(n - window, F.lit(0))
-    return F.when(n > 0, F.array_union(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last))).otherwise(F.array().cast("array<int>"))
+    strides = F.sequence(F.lit(0), last, F.lit(stride))
+    return F.when(n > 0, F.when(last % stride == 0, strides).otherwise(F.concat(strides, F.array(last)))).otherwise(F.array().cast("array<int>"))
 
 
-def window_labels(c: Column, parts: Column, window: int = WINDOW, stride: int = STRIDE) -> Column:
-    """1 for each window whose characters overlap a part, else 0. Positions are computed only where a part occurs."""
+def window_labels(c: Column, parts: Column, window: int = WINDOW, stride: int = STRIDE, starts: Column | None = None) -> Column:
+    """1 for each window whose characters overlap a part, else 0. Positions are computed only where a part occurs; ``starts``, where they are known already, save the tokens of other texts."""
 
     def label(spans: Column, at: Column, s: Column) -> Column:
         first, last = F.get(at, s)["a"], F.get(at, F.least(s + window, F.size(at)) - 1)["b"]
         return F.exists(spans, lambda x: (first < x["b"]) & (x["a"] < last)).cast("int")
 
     def marked(spans: Column) -> Column:
-        none = F.transform(window_starts(F.size(tokens(c)), window, stride), lambda _: F.lit(0))
+        none = F.transform(window_starts(F.size(tokens(c)), window, stride) if starts is None else starts, lambda _: F.lit(0))
         some = let(token_ends(c), lambda at: F.transform(window_starts(F.size(at), window, stride), lambda s: label(spans, at, s)))
         return F.when(F.size(spans) == 0, none).otherwise(some)
 
@@ -145,6 +150,20 @@ def token_windows(c: Column, labels: Column, window: int = WINDOW, stride: int =
     return let(tokens(c), of)
 
 
+def window_texts(t: Column, window: int = WINDOW, stride: int = STRIDE) -> Column:
+    """The tokens of each window, joined by blanks, in the order of :func:`window_starts`.
+
+    Windows that begin at a stride are put together from runs of a stride's tokens, which are joined once.
+    """
+    plain = lambda s: F.array_join(F.slice(t, s + 1, window), " ")
+    starts = window_starts(F.size(t), window, stride)
+    if window % stride:
+        return F.transform(starts, plain)
+    runs = F.transform(F.sequence(F.lit(0), ((F.size(t) - 1) / stride).cast("int")), lambda i: F.array_join(F.slice(t, i * stride + 1, stride), " "))
+    of = lambda r: F.transform(starts, lambda s: F.when(s % stride == 0, F.array_join(F.slice(r, (s / stride).cast("int") + 1, window // stride), " ")).otherwise(plain(s)))
+    return F.when(F.size(t) > 0, let(runs, of)).otherwise(F.array().cast("array<string>"))
+
+
 def shingles(t: Column, k: int = SHINGLE) -> Column:
     """Distinct runs of k tokens joined by blanks; fewer than k tokens are one run, none are none."""
     runs = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, k), " ")))

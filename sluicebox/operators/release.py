@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicebox.functions.registry import MODES, dimension
-from sluicebox.functions.text import token_windows, window_labels
+from sluicebox.functions.text import let, token_windows, tokens, window_labels, window_starts, window_texts
 from sluicebox.operators.selection import SEED, audit_pairs, balanced_select, commit_cap, commit_split
 
 CONTEXT = ["application_type", "flow_pattern", "difficulty", "structure"]
@@ -29,12 +29,20 @@ def windows_of(files: DataFrame, positive: int = 4, negative: int = 4, seed: int
 
     Windows of a label are ranked by a hash of seed, group, file, label and tokens; ties by start.
     """
-    w = token_windows(F.col("source"), window_labels(F.col("source"), F.col("badparts"), window, stride), window, stride)
-    key = lambda x: F.sha2(F.concat(F.lit(f"{seed}|"), F.col("group_id"), F.lit("|"), F.col("filename"), F.lit("|"), x["label"].cast("string"), F.lit("|"), F.array_join(x["tokens"], " ")), 256)
-    ranked = files.withColumn("_w", w).withColumn("_r", F.array_sort(F.transform("_w", lambda x: F.struct(key(x).alias("rank"), x["start"].alias("start"), x["label"].alias("label"), x["tokens"].alias("tokens")))))
-    first = lambda y, n: F.slice(F.filter("_r", lambda x: x["label"] == y), 1, n)
-    best = F.concat(first(1, positive), first(0, negative))
-    return ranked.select("dataset", "mode", "group_id", "filename", F.size("_w").alias("n_windows"), F.inline(best)).drop("rank")
+    key = lambda y, x: F.sha2(F.concat(F.lit(f"{seed}|"), F.col("group_id"), F.lit("|"), F.col("filename"), F.lit("|"), y.cast("string"), F.lit("|"), x), 256)
+
+    def chosen(t: Column) -> Column:
+        """Ranks are sorted without the tokens, of which only the chosen windows' are cut."""
+        starts = window_starts(F.size(t), window, stride)
+        labels = window_labels(F.col("source"), F.col("badparts"), window, stride, starts)
+        ranks = F.zip_with(labels, window_texts(t, window, stride), lambda y, x: F.struct(key(y, x).alias("rank"), y.alias("label")))
+        each = F.zip_with(ranks, starts, lambda r, s: F.struct(r["rank"].alias("rank"), s.alias("start"), r["label"].alias("label")))
+        first = lambda r, y, n: F.slice(F.array_sort(F.filter(r, lambda x: x["label"] == y)), 1, n)
+        cut = lambda x: F.struct(x["start"].alias("start"), x["label"].alias("label"), F.slice(t, x["start"] + 1, window).alias("tokens"))
+        return let(each, lambda r: F.struct(F.size(r).alias("n"), F.transform(F.concat(first(r, 1, positive), first(r, 0, negative)), cut).alias("best")))
+
+    ranked = files.select("dataset", "mode", "group_id", "filename", let(tokens(F.col("source")), chosen).alias("_w"))
+    return ranked.select("dataset", "mode", "group_id", "filename", F.col("_w.n").alias("n_windows"), F.inline("_w.best"))
 
 
 def first_of_groups(files: DataFrame, order: list[str]) -> DataFrame:

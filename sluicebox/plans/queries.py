@@ -130,13 +130,12 @@ def window_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", one.alias("x")).select("doc_id", "x.*")
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    w = text.token_windows(F.col("text"), text.window_labels(F.col("text"), F.col("parts")))
-    return rows.select("doc_id", "lang", F.inline(w))
-
-
 def window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(all_parts(spark, sf_dir)).select("doc_id", "start", F.size("tokens").alias("n_tokens"), "label", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+    """A window's tokens become their hash within the row of the text; only that is a row of its own."""
+    labels = lambda starts: text.window_labels(F.col("text"), F.col("parts"), starts=starts)
+    zipped = lambda t, s: F.arrays_zip(s.alias("start"), F.transform(s, lambda x: F.least(F.size(t) - x, F.lit(text.WINDOW))).alias("n_tokens"), labels(s).alias("label"), F.transform(text.window_texts(t), F.md5).alias("tokens_md5"))
+    of = lambda t: text.let(text.window_starts(F.size(t)), lambda s: zipped(t, s))
+    return all_parts(spark, sf_dir).select("doc_id", F.inline(text.let(text.tokens(F.col("text")), of)).alias("start", "n_tokens", "label", "tokens_md5"))
 
 
 def window_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +435,9 @@ def safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text, and each of its lines."""
     whole = safe.safe_text(F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" C:/x")).otherwise(F.lit(""))))
     each = F.transform(F.split("text", "\n", -1), lambda x: safe.safe_text(x))
-    return table(spark, sf_dir, "documents").select("doc_id", sha(whole).alias("text_sha"), F.size(F.filter(each, lambda x: x.isNull())).alias("unsafe_lines"), sha(joined(F.filter(each, lambda x: x.isNotNull()))).alias("lines_sha"))
+    # array_join passes nulls over.
+    one = text.let(each, lambda x: F.struct(F.size(F.filter(x, lambda y: y.isNull())).alias("unsafe_lines"), sha(joined(x)).alias("lines_sha")))
+    return table(spark, sf_dir, "documents").select("doc_id", sha(whole).alias("text_sha"), one.alias("x")).select("doc_id", "text_sha", "x.*")
 
 
 def safe_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -713,10 +714,10 @@ def candidate_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that show weakness and fix, by class, in the texts with a snippet behind."""
     c = F.concat(F.col("text"), F.get(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS)).cast("int")))
-    modes = F.explode(F.array(*map(F.lit, MODES))).alias("mode")
-    rows = table(spark, sf_dir, "documents").select(modes, c.alias("code"))
-    n = rows.select("mode", F.size(candidates.vulnerable_lines(F.col("mode"), F.col("code"))).alias("b"), F.size(candidates.fixed_lines(F.col("mode"), F.col("code"))).alias("a"))
-    return n.groupBy("mode").agg(F.sum("b").alias("before_lines"), F.sum("a").alias("after_lines"))
+    # The lines are made once a text, not once a class and mark.
+    per = lambda own, low: F.array(*[F.struct(F.lit(m).alias("mode"), F.size(candidates.vulnerable_of(F.lit(m), own, low)).alias("b"), F.size(candidates.fixed_of(F.lit(m), own, low)).alias("a")) for m in MODES])
+    rows = table(spark, sf_dir, "documents").select(F.inline(text.let(text.lines(c), lambda own: text.let(F.transform(own, F.lower), lambda low: per(own, low)))))
+    return rows.groupBy("mode").agg(F.sum("b").alias("before_lines"), F.sum("a").alias("after_lines"))
 
 
 def response_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
